@@ -1,10 +1,11 @@
-"""Queries over documents: token ids, source mixes."""
+"""Queries over documents: token ids, source mixes, sentence units."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm.mixing import mix_sources, shuffled_copies
+from frameloom.llm.sentences import split_sentences
 from frameloom.llm.tokens import count_tokens, encode_corpus
 from frameloom.session import cut
 from frameloom.sources.tables import read_table
@@ -40,11 +41,17 @@ def p7_mix_stream(spark: SparkSession, folder: str) -> DataFrame:
     return shuffled_copies(_mix(spark, folder)[0])
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence units of every document with their positions."""
+    return split_sentences(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
     "p7_mix_documents": p7_mix_documents,
     "p7_mix_shares": p7_mix_shares,
     "p7_mix_stream": p7_mix_stream,
+    "p8_found": p8_found,
 }
 ORACLES: dict[str, str] = {}
