@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frameloom.session import ship_package
+
 #: Buckets of each of the two rows of the count-min table of corpus counts: a fixed size, whatever the vocabulary.
 BUCKETS = 1 << 18
 
@@ -453,6 +455,7 @@ class SentenceModel:
 def fit_sentences(documents: DataFrame, text: str = "text") -> SentenceModel:
     """Fit the boundary model: counts over all documents, weights on a bounded sample of reliable boundaries."""
     spark = documents.sparkSession
+    ship_package(spark)
     texts = documents.select(F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,6 +518,7 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
     classifies; the texts are never shuffled. Repeated documents come out repeatedly; null, empty and blank texts
     have no unit; a document without any mark is one unit per paragraph; an empty table gives an empty result.
     """
+    ship_package(documents.sparkSession)
     model = model or fit_sentences(documents, text)
     shared = documents.sparkSession.sparkContext.broadcast((model.counts, model.weights))
 

@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from frameloom.session import ship_package
+
 #: Where the vocabulary files of public tokenizers are; they are never copied into the repository.
 TOKENIZER_FOLDER = os.environ.get("FRAMELOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
@@ -187,6 +189,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     vocabulary file, which all executors must see (by default in the folder FRAMELOOM_TOKENIZERS).
     """
     path = _vocabulary_path(vocabulary)
+    ship_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(path)
@@ -206,6 +209,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def count_tokens(documents: DataFrame, keys: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(keys, tokens): the number of token ids of every document, as ``encode_corpus`` would give."""
     path = _vocabulary_path(vocabulary)
+    ship_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(path)
