@@ -1,8 +1,8 @@
 """All queries of the core, by name, and their SQL equivalents."""
 
-from frameloom.queries import core_problems
+from frameloom.queries import core_problems, quality, sampling, sources, tiles
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, sources, sampling, tiles, quality)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
