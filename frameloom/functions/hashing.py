@@ -11,7 +11,8 @@ EDGE = 65_536
 
 def little_endian(value: Column, width: int = 8) -> Column:
     """A non-negative number as so many bytes, the lowest first."""
-    return F.reverse(F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")))
+    digits = F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]))
 
 
 def quick_fingerprint(content: Column) -> Column:

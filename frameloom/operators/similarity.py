@@ -22,22 +22,34 @@ def exact_edges(assets: DataFrame) -> DataFrame:
     return known.join(first, "digest").where("asset_key > a").select("a", F.col("asset_key").alias("b"), F.lit(1.0).alias("score"))
 
 
+def _meeting_keys(column: str, distance: int, wide: bool) -> Column:
+    """Keys of a 63-bit hash of which two hashes within the distance share at least one.
+
+    Narrow: the values of distance + 1 bands, one of which is untouched by so many differences; few keys, for small
+    scopes. Wide: of distance // 3 + 1 blocks one has at most two differences, so its values with at most one bit
+    turned meet; more keys, but each is shared by few hashes of a large scope.
+    """
+    parts = min(distance // 3 + 1 if wide else distance + 1, 63)
+    edges = [63 * i // parts for i in range(parts + 1)]
+    keys = []
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        value = F.shiftright(column, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint"))
+        for turned in [0, *(1 << j for j in range(hi - lo) if wide)]:
+            keys.append(F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(turned).cast("bigint")).alias("bits")))
+    return F.array(*keys)
+
+
 def near_pairs(assets: DataFrame, scope: str = "source", window_ms: int = 30_000, distance: int = 8) -> DataFrame:
     """(a, b): pairs of assets in one scope with different digests whose hashes are near.
 
     ``assets`` has asset_key, source_id, source_group, offset_ms, digest and hash. Two assets of the same source with
-    offsets count only if these are at most ``window_ms`` apart. Candidates come from equi-joins: the bits are cut into
-    distance + 1 bands, of which near hashes share one; in the scope ``source`` the time bucket is part of the key.
+    offsets count only if these are at most ``window_ms`` apart. Candidates come from equi-joins on parts of the hash
+    that near hashes share without fail; in the scope ``source`` the time bucket is part of the key.
     """
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
     part = {"source": F.col("source_id"), "source_group": F.col("source_group"), "project": F.lit("")}[scope]
-    bands = min(distance + 1, 63)
-    edges = [63 * i // bands for i in range(bands + 1)]
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("band"), F.shiftright("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")).alias("bits"))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-    ])
+    keys = _meeting_keys("hash", distance, wide=scope != "source")
     rows = assets.where("hash is not null and asset_key is not null").select("asset_key", "source_id", "offset_ms", "digest", "hash", part.alias("part"))
     timed = scope == "source"
     bucket = F.floor(F.col("offset_ms") / max(window_ms, 1)) if timed else F.lit(None).cast("bigint")
