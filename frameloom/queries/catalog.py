@@ -1,8 +1,8 @@
 """All queries of the core, by name, and their SQL equivalents."""
 
-from frameloom.queries import core_problems, exports, quality, sampling, similarity, sources, tiles
+from frameloom.queries import changes, core_problems, exports, quality, sampling, similarity, sources, tiles
 
-_MODULES = (core_problems, sources, sampling, tiles, quality, similarity, exports)
+_MODULES = (core_problems, sources, sampling, tiles, quality, similarity, exports, changes)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
