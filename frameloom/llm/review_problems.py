@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions.text import plain
-from frameloom.llm.neardup import connected_components, similar_fingerprints
+from frameloom.llm.neardup import similar_fingerprints
 from frameloom.llm.truth import discover_truth
+from frameloom.operators.components import connected_components
 from frameloom.session import cut
 from frameloom.sources.tables import read_table
 

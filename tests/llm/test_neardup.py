@@ -1,10 +1,10 @@
-"""Near-duplicate fingerprints and components against brute force."""
+"""Near-duplicate fingerprints against brute force."""
 
 import random
 
 import pytest
 
-from frameloom.llm.neardup import connected_components, similar_fingerprints
+from frameloom.llm.neardup import similar_fingerprints
 
 SCHEMA = "h bigint, a string, b string, token bigint, s bigint"
 
@@ -50,24 +50,3 @@ def test_crowded_blocks_lose_no_pair(spark):
 def test_no_fingerprints(spark):
     assert similar_fingerprints(frame(spark, []), "h").count() == 0
     assert similar_fingerprints(frame(spark, [None]), "h").count() == 0
-
-
-def test_components(spark):
-    rng = random.Random(2)
-    chain = [(i, i + 1) for i in range(1000, 1040)]
-    star = [(5, 2000 + i) for i in range(300)]
-    edges = chain + star + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(250)] + [(7, 7), (None, 3), *chain[:5]]
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        if a is not None and a != b:
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    got = {tuple(r) for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {(x, find(x)) for x in root}
-    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
