@@ -58,7 +58,8 @@ def near_pairs(assets: DataFrame, scope: str = "source", window_ms: int = 30_000
     # An asset is met in its own time bucket, in the next one, and in bucket -1, where those without an offset look.
     ahead = F.when(F.col("bucket") < 0, F.array("bucket")).otherwise(F.array("bucket", F.col("bucket") + 1, F.lit(-1).cast("bigint"))) if timed else F.array("bucket")
     right = left.withColumn("bucket", F.explode(ahead))
-    a, b = left.alias("a"), right.alias("b")
+    # The planner can't see how much the keys multiply the rows: without the hint it may broadcast them.
+    a, b = left.alias("a"), right.hint("merge").alias("b")
     same = (F.col("a.source_id") == F.col("b.source_id")) & (F.abs(F.col("a.offset_ms") - F.col("b.offset_ms")) > window_ms)
     found = a.join(
         b,
