@@ -120,7 +120,8 @@ def similar_fingerprints(
             second = F.when(F.col("block") == i, F.array(*finer)).otherwise(second)
         entries = entries.join(hot, "token", "left").select("h", "s", F.explode(second).alias("token"))
 
-    a, b = entries.alias("a"), entries.alias("b")
+    # The planner can't see how much the entries have grown out of the fingerprints: without the hint it may broadcast them.
+    a, b = entries.alias("a"), entries.hint("merge").alias("b")
     differ = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h")))
     common = F.bit_count(F.col("a.s").bitwiseAND(F.col("b.s")))
     union = F.bit_count(F.col("a.s").bitwiseOR(F.col("b.s")))
