@@ -26,6 +26,9 @@ TRAINING_DOCUMENTS, TRAINING_CANDIDATES = 4000, 40
 #: What an occurrence after an unsure mark counts against a token's beginning sentences, next to one within a sentence.
 UNSURE_WEIGHT = 0.1
 
+#: Occurrences from which two words tell more about a start than the first of them.
+COMMON_PAIR = 8
+
 # Marks that end sentences, by kind, and quotes and brackets that open and close.
 _DOTS = ".．"
 _ELLIPSES = "…"
@@ -58,7 +61,7 @@ _SPECIAL = re.compile("[" + re.escape(_MARKS) + "]+|[" + re.escape("".join({*_PA
 _BOUND = r"\s.,;:!?…\"“”„‚‘«»‹›()\[\]{}（）［］【】〔〕「」『』《》〈〉。、，；：！？｡．।॥؟،؛۔።፣፤፥፧፨¿¡*•"
 _TOKEN = re.compile(f"[^{_BOUND}]+")
 _LAST = re.compile(rf"(?:[^{_BOUND}]+\.)*[^{_BOUND}]+$")
-_CODE = re.compile(r"(?:[A-Za-z0-9_]+[-./\\:])*[A-Za-z0-9_]+")
+_CODE = re.compile(r"[^\W\d_]{1,8}-\d+(?![A-Za-z0-9_])|(?:[A-Za-z0-9_]+[-./\\:])*[A-Za-z0-9_]+")
 _IDEOGRAM = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿𠀀-𯿿々〆ー]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _WORDS = re.compile(rf"[^{_BOUND}]+")
@@ -154,11 +157,23 @@ def right_token(text: str, at: int) -> tuple[str, str]:
     if not m:
         return "other", prefix + text[at]
     word = m[0][:2] if _IDEOGRAM.match(m[0]) else m[0]
+    if len(word) == 1 and _IDEOGRAM.match(word):  # a line may break between two ideograms
+        rest = text[m.end() : m.end() + 4].lstrip()
+        word += rest[0] if rest and _IDEOGRAM.match(rest[0]) else ""
     first = word[0]
     kind = "open" if prefix else "upper" if first.isupper() or first.istitle() else "lower" if first.islower() else "uncased" if first.isalpha() else "other"
     return kind, _composed(prefix + word)
 
 
+def pair_key(text: str, at: int) -> str:
+    """The key of a word and the one after it on the same line of words; empty where another character parts them."""
+    m = _TOKEN.match(text, at)
+    n = _TOKEN.search(text, m.end(), m.end() + 40) if m else None
+    if not n or not text[m.end() : n.start()].isspace():
+        return ""
+    return _composed(f"{m[0]} {re.sub(r'[0-9]+', '0', n[0])}")
+
+
 def left_token(text: str, at: int) -> tuple[str, str]:
     """(last token before a place, key): with its inner dots; a short one goes with the one before it."""
     m = _LAST.search(text, max(0, at - 60), at)
@@ -179,13 +194,14 @@ def left_token(text: str, at: int) -> tuple[str, str]:
 class Candidate:
     """A place where a unit may end: ``end`` is after the marks and closers, ``next`` the next non-blank character."""
 
-    __slots__ = ("alone", "end", "gap", "kind", "left", "left_key", "mark", "next", "right", "right_class")
+    __slots__ = ("alone", "end", "gap", "kind", "left", "left_key", "mark", "next", "pair", "right", "right_class")
 
     def __init__(self, text: str, mark_at: int, kind: str, mark: str, end: int, following: int, alone: bool):
         self.kind, self.mark, self.end, self.next, self.alone = kind, mark, end, following, alone
         self.gap = following > end
         self.left, self.left_key = left_token(text, mark_at)
         self.right_class, self.right = right_token(text, following)
+        self.pair = pair_key(text, following) if self.right_class == "upper" else ""
 
 
 def candidates(text: str) -> list[Candidate]:
@@ -305,11 +321,17 @@ def corpus_counts(texts: Iterator[str | None]) -> Counter:
                     at = m.start()
                     if word[0].isdigit() or _CODE.match(word):
                         all_tokens[right_token(body, at)[1]] += 1
+                        if word[0].isupper() and (pair := pair_key(body, at)):
+                            all_tokens[pair] += 1
                     else:
                         all_tokens[_composed(word)] += 1
+                        if word[0].isupper() and (pair := pair_key(body, at)):
+                            all_tokens[pair] += 1
                 if m.start() and (body[m.start() - 1] in _PAIRS or body[m.start() - 1] in '"¿¡'):
                     all_tokens[right_token(body, m.start() - 1)[1]] += 1
             starts[right_token(body, 0)[1]] += 1
+            if body[0].isupper() and (pair := pair_key(body, 0)):
+                starts[pair] += 1
             tail = len(body)
             while tail and body[tail - 1] in _MARKS:
                 tail -= 1
@@ -318,10 +340,14 @@ def corpus_counts(texts: Iterator[str | None]) -> Counter:
             for c in candidates(body):
                 if _sure_break(c):
                     starts[c.right] += 1
+                    if c.pair:
+                        starts[c.pair] += 1
                 elif c.right_class == "lower" and c.kind == "mark":
                     goes_on[c.left_key] += 1
                 if c.right_class != "lower" and not _sure_break(c):
                     unsure[c.right] += 1
+                    if c.pair:
+                        unsure[c.pair] += 1
     bare: Counter = Counter()
     for key, n in all_tokens.items():
         bare[key.lower()] += n
@@ -349,8 +375,10 @@ class Counts:
             found = self.known[key] = np.minimum(self.table[a], self.table[b]).tolist()
         return found
 
-    def start(self, key: str) -> tuple[float, float]:
-        """(log-odds that an occurrence of the token is a sure start, occurrences)."""
+    def start(self, key: str, pair: str = "") -> tuple[float, float]:
+        """(log-odds that an occurrence of the token is a sure start, occurrences); of the pair where it is common."""
+        if pair and self._of("r" + pair)[0] >= COMMON_PAIR:
+            key = pair
         total, started, _, _, _, unsure = self._of("r" + key)
         within = max(total - started - unsure, 0.0) + UNSURE_WEIGHT * unsure
         return max(-4.5, min(3.0, math.log((started + 0.3) / (within + 1.0)))), float(max(total, started))
@@ -364,7 +392,7 @@ class Counts:
 
 def features(c: Candidate, counts: Counts) -> list[float]:
     """The values of FEATURES for a candidate."""
-    start, seen = counts.start(c.right)
+    start, seen = counts.start(c.right, c.pair)
     left_ends, left_bare = counts.left(c.left_key)
     kind = _mark_class(c.mark)
     left, dot = c.left, kind == "dot" and c.kind == "mark"
@@ -387,7 +415,7 @@ def reliable_label(c: Candidate, counts: Counts) -> int:
         return 1 if c.right_class != "lower" else -1
     if c.right_class == "lower":
         return 0
-    start, seen = counts.start(c.right)
+    start, seen = counts.start(c.right, c.pair)
     if _sure_break(c):
         return 1
     short_of = _abbreviation(c.left_key, c.left) if c.kind == "mark" and _mark_class(c.mark) == "dot" else ""
