@@ -74,7 +74,7 @@ def clock_ms(text: Column) -> Column:
 
 def without_extended_prefix(path: Column) -> Column:
     r"""A Windows path without the prefix of extended paths: ``\\?\UNC\x`` is ``\\x`` and ``\\?\x`` is ``x``."""
-    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\\\\\"), r"^\\\\\?\\", "")
+    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "")
 
 
 def plays_directly(codec: Column, path: Column) -> Column:

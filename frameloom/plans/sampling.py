@@ -87,12 +87,13 @@ def snap_to_frames(times: DataFrame, frames: DataFrame, entity: str, time: str,
 def nearest_within(planned: DataFrame, existing: DataFrame, entity: str, time: str, tolerance: int = 1) -> DataFrame:
     """Add ``nearest``: the time in ``existing`` of the same entity within the tolerance, nearest first, then the
     smaller; null if there is none. Each planned time asks for its 2 * tolerance + 1 neighbours by an equi-join."""
-    there = existing.select(F.col(entity).alias("k"), F.col(time).alias("at")).dropna().distinct()
+    there = existing.select(F.col(entity).alias("_k"), F.col(time).alias("_at")).dropna().distinct()
     offsets = F.array(*[F.lit(d).cast("bigint") for d in range(-tolerance, tolerance + 1)])
-    asked = planned.select(entity, time).dropna().distinct().select("*", F.explode(offsets).alias("d"))
-    hits = asked.join(there, (F.col(entity) == F.col("k")) & (F.col(time) + F.col("d") == F.col("at")))
-    best = hits.groupBy(entity, time).agg(F.min(F.struct(F.abs("d").alias("far"), F.col("at"))).alias("best"))
-    return planned.join(best.select(entity, time, F.col("best.at").alias("nearest")), [entity, time], "left")
+    asked = planned.select(F.col(entity).alias("_e"), F.col(time).alias("_t")).dropna().distinct().select("*", F.explode(offsets).alias("_d"))
+    hits = asked.join(there, (F.col("_e") == F.col("_k")) & (F.col("_t") + F.col("_d") == F.col("_at")))
+    best = hits.groupBy("_e", "_t").agg(F.min(F.struct(F.abs("_d").alias("far"), F.col("_at").alias("at"))).alias("best"))
+    best = best.select(F.col("_e").alias(entity), F.col("_t").alias(time), F.col("best.at").alias("nearest"))
+    return planned.drop("nearest").join(best, [entity, time], "left")
 
 
 def change_selection(points: DataFrame, entity: str, time: str, score: str, threshold: float, least: int, most: int) -> DataFrame:

@@ -38,4 +38,4 @@ def frame_times(document: Column) -> Column:
 def transcode_percent(line: Column, duration_ms: Column) -> Column:
     """Progress out of an ``out_time_us=`` line, at most 99; null for other lines."""
     us = F.nullif(F.regexp_extract(line, r"^out_time_us=(\d+)\s*$", 1), F.lit("")).cast("bigint")
-    return F.when(duration_ms > 0, F.least(F.lit(99), F.floor(us / (duration_ms * 10))))
+    return F.when((duration_ms > 0) & us.isNotNull(), F.least(F.lit(99), F.floor(us / (duration_ms * 10))))

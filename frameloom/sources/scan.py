@@ -12,11 +12,11 @@ from frameloom.functions.names import file_kind
 def list_files(spark: SparkSession, *folders: str, content: bool = False) -> DataFrame:
     """The files under folders: path, length, modified_unix_ms, kind and failure; with ``content`` also the bytes.
 
-    Without the content only the listing is read. Files of no supported kind and empty files stay in the table, with
-    the failure named; the same file under two folders comes once.
+    Without the content only the listing is read. Files of no supported kind stay in the table, with the failure named;
+    empty files are left out by Spark's listing; the same file under two folders comes once.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
-    failure = F.when(file_kind(F.col("path")) == "unsupported", "unsupported").when(F.col("length") == 0, "empty file")
+    failure = F.when(file_kind(F.col("path")) == "unsupported", "unsupported")
     columns = ["path", "length", F.unix_millis("modificationTime").alias("modified_unix_ms"), file_kind(F.col("path")).alias("kind"), failure.alias("failure")]
     return files.select(*columns, *(["content"] if content else [])).dropDuplicates(["path"])
 
