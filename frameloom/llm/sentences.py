@@ -8,9 +8,11 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,9 @@ TRAINING_DOCUMENTS, TRAINING_CANDIDATES = 4000, 40
 #: What an occurrence after an unsure mark counts against a token's beginning sentences, next to one within a sentence.
 UNSURE_WEIGHT = 0.1
 
+#: Distinct tokens that a task holds before it moves their counts into the table.
+HELD_TOKENS = 300_000
+
 #: Occurrences from which two words tell more about a start than the first of them.
 COMMON_PAIR = 8
 
@@ -65,6 +70,11 @@ _CODE = re.compile(r"[^\W\d_]{1,8}-\d+(?![A-Za-z0-9_])|(?:[A-Za-z0-9_]+[-./\\:])
 _IDEOGRAM = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿𠀀-𯿿々〆ー]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _WORDS = re.compile(rf"[^{_BOUND}]+")
+_CAPITAL_PAIRS = regex.compile(rf"(?<![^{_BOUND}])(\p{{Lu}}[^{_BOUND}]*)\s+(?=([^{_BOUND}]+))")
+_OPENED = re.compile(f"[{re.escape(''.join(_PAIRS))}\"¿¡](?=[^{_BOUND}])")
+_NUMBERED = re.compile(rf"(?<![^{_BOUND}])[^{_BOUND}\d]*\d[^{_BOUND}]*")
+_BOUND_CHARACTERS = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{_BOUND}]", c))
+_JOINED = re.compile(r"[^\W\d_]{3,}\.([^\W\d_][^.]*)$")
 _ORDINARY = re.compile(r"[^\W\d_]{4,}$")
 
 _CLASSES = ("upper", "lower", "code", "number", "uncased", "open", "other")
@@ -156,7 +166,7 @@ def right_token(text: str, at: int) -> tuple[str, str]:
     m = _TOKEN.match(text, at)
     if not m:
         return "other", prefix + text[at]
-    word = m[0][:2] if _IDEOGRAM.match(m[0]) else m[0]
+    word = _composed(m[0][:5])[:2] if _IDEOGRAM.match(m[0]) else m[0]
     if len(word) == 1 and _IDEOGRAM.match(word):  # a line may break between two ideograms
         rest = text[m.end() : m.end() + 4].lstrip()
         word += rest[0] if rest and _IDEOGRAM.match(rest[0]) else ""
@@ -165,27 +175,34 @@ def right_token(text: str, at: int) -> tuple[str, str]:
     return kind, _composed(prefix + word)
 
 
+def _pair(first: str, second: str) -> str:
+    return _composed(f"{first} {re.sub('[0-9]+', '0', second)}")
+
+
 def pair_key(text: str, at: int) -> str:
     """The key of a word and the one after it on the same line of words; empty where another character parts them."""
     m = _TOKEN.match(text, at)
     n = _TOKEN.search(text, m.end(), m.end() + 40) if m else None
     if not n or not text[m.end() : n.start()].isspace():
         return ""
-    return _composed(f"{m[0]} {re.sub(r'[0-9]+', '0', n[0])}")
+    return _pair(m[0], n[0])
 
 
 def left_token(text: str, at: int) -> tuple[str, str]:
     """(last token before a place, key): with its inner dots; a short one goes with the one before it."""
-    m = _LAST.search(text, max(0, at - 60), at)
-    token = m[0] if m else text[at - 1 : at]
-    joined = re.search(r"[^\W\d_]{3,}\.([^\W\d_][^.]*)$", token)
+    begin, least = at, max(0, at - 60)
+    while begin > least and (text[begin - 1] not in _BOUND_CHARACTERS or (text[begin - 1] == "." and begin < at and begin - 1 > least and text[begin - 2] not in _BOUND_CHARACTERS)):
+        begin -= 1
+    found = begin < at
+    token = text[begin:at] if found else text[at - 1 : at]
+    joined = _JOINED.search(token) if "." in token else None
     if joined and joined[1][0].isupper() and token[joined.start() : joined.start(1) - 1].islower():
         token = joined[1]  # what went before ended without a blank
-    if _IDEOGRAM.match(token[-1:]):
-        return token, token[-2:]
+    if _IDEOGRAM.match(token[-1:]) or (token and unicodedata.combining(token[-1]) and _IDEOGRAM.match(_composed(token[-2:]))):
+        return token, _composed(token[-5:])[-2:]
     key = _composed(re.sub(r"\d+", "0", token.lower()))
-    if len(token) <= 2 and m and not token.isdigit() and m.start() >= 2 and text[m.start() - 1].isspace() and text[m.start() - 2] == ".":
-        before = _LAST.search(text, max(0, m.start() - 40), m.start() - 2)
+    if len(token) <= 2 and found and not token.isdigit() and begin >= 2 and text[begin - 1].isspace() and text[begin - 2] == ".":
+        before = _LAST.search(text, max(0, begin - 40), begin - 2)
         if before and len(before[0]) <= 2 and not before[0].isdigit():
             key = _composed(before[0].lower()) + "." + key
     return token, key
@@ -295,14 +312,38 @@ def _sure_break(c: Candidate) -> bool:
     return kind == "dot" and c.gap and c.right_class in ("upper", "open") and bool(_ORDINARY.fullmatch(c.left)) and c.left.islower() and not _abbreviation(c.left_key, c.left)
 
 
-def corpus_counts(texts: Iterator[str | None]) -> Counter:
-    """Counts by (bucket, column): tokens at all places, tokens at sure starts; tokens with a dot at the end of a
-    block, with a dot before a small letter, and without a dot; tokens after a mark that may or may not end a unit."""
-    all_tokens: Counter = Counter()
-    starts: Counter = Counter()
-    ends: Counter = Counter()
-    goes_on: Counter = Counter()
-    unsure: Counter = Counter()
+def corpus_counts(texts: Iterator[str | None]) -> np.ndarray:
+    """The count-min table of a part of the corpus, (2 * BUCKETS, 6).
+
+    Columns: tokens at all places, tokens at sure starts; tokens with a dot at the end of a block, with a dot before a
+    small letter, and without a dot; tokens after a mark that may or may not end a unit. What is counted by token is
+    moved into the table from time to time, so that the memory doesn't follow the vocabulary.
+    """
+    table = np.zeros((2 * BUCKETS, 6), np.int64)
+    words, pairs, placed, starts, ends, goes_on, unsure = (Counter() for _ in range(7))
+
+    def settle() -> None:
+        everywhere = Counter(placed)
+        for raw, n in words.items():
+            word = _composed(raw)
+            wide = None if word.isascii() else _IDEOGRAM.search(word)
+            if wide:
+                for two in map("".join, zip(word, word[1:], strict=False)) if len(word) > 1 else [word]:
+                    everywhere[two] += n
+            if not (wide and not wide.start()) and not any(c.isdigit() for c in word):
+                everywhere[word] += n
+        for (first, second), n in pairs.items():
+            everywhere[_pair(first, second)] += n
+        bare: Counter = Counter()
+        for key, n in everywhere.items():
+            bare[key.lower()] += n
+        for column, (prefix, counter) in enumerate((("r", everywhere), ("r", starts), ("l", ends), ("l", goes_on), ("l", bare), ("r", unsure))):
+            for key, n in counter.items():
+                for slot in _slots(prefix + key):
+                    table[slot, column] += n
+        for counter in (words, pairs, placed, starts, ends, goes_on, unsure):
+            counter.clear()
+
     for text in texts:
         if not text:
             continue
@@ -310,25 +351,13 @@ def corpus_counts(texts: Iterator[str | None]) -> Counter:
             if listed:
                 continue
             body = text[begin:end].strip()
-            for m in _WORDS.finditer(body):
-                word = m[0]
-                wide = _IDEOGRAM.search(word)
-                if wide:
-                    all_tokens.update(map("".join, zip(word, word[1:], strict=False)))
-                    if len(word) == 1:
-                        all_tokens[word] += 1
-                if not wide or wide.start():
-                    at = m.start()
-                    if word[0].isdigit() or _CODE.match(word):
-                        all_tokens[right_token(body, at)[1]] += 1
-                        if word[0].isupper() and (pair := pair_key(body, at)):
-                            all_tokens[pair] += 1
-                    else:
-                        all_tokens[_composed(word)] += 1
-                        if word[0].isupper() and (pair := pair_key(body, at)):
-                            all_tokens[pair] += 1
-                if m.start() and (body[m.start() - 1] in _PAIRS or body[m.start() - 1] in '"¿¡'):
-                    all_tokens[right_token(body, m.start() - 1)[1]] += 1
+            words.update(_WORDS.findall(body))
+            pairs.update(_CAPITAL_PAIRS.findall(body))
+            for m in _OPENED.finditer(body):
+                placed[right_token(body, m.start())[1]] += 1
+            for m in _NUMBERED.finditer(body):
+                if not _IDEOGRAM.match(m[0]):
+                    placed[right_token(body, m.start())[1]] += 1
             starts[right_token(body, 0)[1]] += 1
             if body[0].isupper() and (pair := pair_key(body, 0)):
                 starts[pair] += 1
@@ -342,21 +371,16 @@ def corpus_counts(texts: Iterator[str | None]) -> Counter:
                     starts[c.right] += 1
                     if c.pair:
                         starts[c.pair] += 1
-                elif c.right_class == "lower" and c.kind == "mark":
-                    goes_on[c.left_key] += 1
-                if c.right_class != "lower" and not _sure_break(c):
+                elif c.right_class != "lower":
                     unsure[c.right] += 1
                     if c.pair:
                         unsure[c.pair] += 1
-    bare: Counter = Counter()
-    for key, n in all_tokens.items():
-        bare[key.lower()] += n
-    sums: Counter = Counter()
-    for column, (prefix, counter) in enumerate((("r", all_tokens), ("r", starts), ("l", ends), ("l", goes_on), ("l", bare), ("r", unsure))):
-        for key, n in counter.items():
-            for slot in _slots(prefix + key):
-                sums[slot, column] += n
-    return sums
+                elif c.kind == "mark":
+                    goes_on[c.left_key] += 1
+        if len(words) + len(pairs) + len(placed) > HELD_TOKENS:
+            settle()
+    settle()
+    return table
 
 
 class Counts:
@@ -447,6 +471,7 @@ def units(text: str | None, counts: Counts, weights: np.ndarray) -> list[tuple[i
     out: list[tuple[int, int]] = []
     if not text:
         return out
+    scale = weights.tolist()
     for begin, end, listed in blocks(text):
         raw = text[begin:end]
         body = raw.strip()
@@ -456,7 +481,7 @@ def units(text: str | None, counts: Counts, weights: np.ndarray) -> list[tuple[i
         cuts: list[tuple[int, int]] = []
         if not listed:
             for c in candidates(body):
-                if float(np.dot(features(c, counts), weights)) > 0:
+                if sum(map(mul, features(c, counts), scale)) > 0:
                     cuts.append((c.end, c.next))
             if "฀" <= max(body) and _THAI_GAP.search(body):
                 outer = _enclosed(body, list(_SPECIAL.finditer(body)))
@@ -495,11 +520,10 @@ def fit_sentences(documents: DataFrame, text: str = "text") -> SentenceModel:
                 n += batch.num_rows
                 yield from batch.column(0).to_pylist()
 
-        sums = corpus_counts(each())
-        sums[-1, 0] = n
-        keys = list(sums)
+        part = corpus_counts(each())
+        slots, columns = np.nonzero(part)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k] for k in keys], pa.int64())],
+            [pa.array(np.append(slots, -1).astype(np.int32)), pa.array(np.append(columns, 0).astype(np.int32)), pa.array(np.append(part[slots, columns], n))],
             names=["slot", "part", "n"],
         )
 
