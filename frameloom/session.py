@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app_name: str = "frameloom") -> SparkSession:
@@ -47,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A join side with its lineage cut: broadcast if it has at most so many rows, else joined by shuffle.
+
+    For sides that are tiny in all likelihood but have no proven bound. The count is of what was really computed, so
+    the other side isn't shuffled by a key of few values only to find that out.
+    """
+    df = cut(df)
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _shipped: set[str] = set()
 
 
