@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameloom.functions.text import plain_key
 from frameloom.operators.intervals import merge_intervals
 from frameloom.operators.references import orphan_references
-from frameloom.operators.timestamps import normalise_timestamps
+from frameloom.operators.timestamps import ABBREVIATIONS, normalise_timestamps
 from frameloom.sources.tables import read_table
 
 
@@ -135,7 +135,53 @@ WITH refs AS (
 )
 """
 
+_A = r"'^(\d{4})[-:/年](\d{1,2})[-:/月](\d{1,2})日?[T ](\d{1,2})[:时](\d\d)(?:[:分](\d\d)秒?(?:[.,](\d+))?)?(?: ?([AaPp])[Mm])?$'"
+_B = r"'^(\d{1,2})[. ](\d\d|[A-Z][a-z]+)[. ](\d{4}),? (\d{1,2}):(\d\d)(?::(\d\d))?(?: ?([ap])m)?$'"
+_C = r"'^(\d{4})(\d\d)(\d\d)[T_]?(\d\d)(\d\d)(\d\d)(?:_(\d+))?$'"
+_ABBREVIATED = "CASE x " + " ".join(f"WHEN '{k.upper()}' THEN {v}" for k, v in ABBREVIATIONS.items()) + " END"
+
+
+def _part(a: int, b: int, c: int) -> str:
+    """A group of whichever shape matches; 0 for none."""
+    pick = lambda pattern, i: f"regexp_extract(core, {pattern}, {i})" if i else "''"
+    return f"CASE WHEN regexp_matches(core, {_A}) THEN {pick(_A, a)} WHEN regexp_matches(core, {_B}) THEN {pick(_B, b)} WHEN regexp_matches(core, {_C}) THEN {pick(_C, c)} ELSE '' END"
+
+
+def _shift(us: str) -> str:
+    """The offset of a zone from UTC at an instant, in microseconds."""
+    return f"(epoch_us(timezone(zone, make_timestamptz({us}))) - ({us}))"
+
+
+_P3 = rf"""
+WITH v AS (
+  SELECT DISTINCT id, regexp_replace(capture_time, {_BLANK}, '', 'g') AS v, lower(regexp_replace(capture_time_source, {_BLANK}, '', 'g')) AS src, site_zone
+  FROM source_assets LEFT JOIN camera_sites USING (source_identifier) WHERE capture_time IS NOT NULL
+), z AS (
+  SELECT *, regexp_full_match(v, '\d{{10}}|\d{{13}}|\d{{16}}') AS counted, regexp_extract(v, '\d ?(Z|UTC|GMT|EST|EDT|PST|PDT|CET|CEST)$', 1) AS x,
+    regexp_extract(v, '[T:]\d[\d:.]* ?([+-]\d\d:?\d\d)$', 1) AS o, coalesce(nullif(regexp_extract(v, '\[([^\]]+)\]$', 1), ''), nullif(regexp_extract(v, ' ([A-Z]\w+/\w+)$', 1), '')) AS named,
+    regexp_replace(regexp_replace(v, '^(UTC |[A-Z][a-z][a-z], )', ''), '( ?\[.*\]| [A-Z]\w+/\w+| ?(Z|UTC|GMT|EST|EDT|PST|PDT|CET|CEST)| ?[+-]\d\d:?\d\d)$', '') AS core FROM v
+), f AS (
+  SELECT *, CASE WHEN v LIKE 'UTC %' THEN 0 WHEN x <> '' THEN {_ABBREVIATED}
+      WHEN o <> '' THEN (CASE WHEN o[1] = '-' THEN -1 ELSE 1 END) * (o[2:3]::INT * 60 + o[-2:]::INT) END AS minutes,
+    {_part(1, 3, 1)} AS y, {_part(2, 2, 2)} AS mo, {_part(3, 1, 3)} AS d, {_part(4, 4, 4)} AS h, {_part(5, 5, 5)} AS mi, {_part(6, 6, 6)} AS s, {_part(7, 0, 7)} AS fr, lower({_part(8, 7, 0)}) AS ap
+  FROM z WHERE NOT counted
+), n AS (
+  SELECT *, CASE WHEN mo ~ '^[A-Z]' THEN (strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(mo[1:3])) + 2) // 3 ELSE mo::INT END AS m,
+    CASE WHEN ap = '' THEN h::INT WHEN h::INT BETWEEN 1 AND 12 THEN h::INT % 12 + CASE WHEN ap = 'p' THEN 12 ELSE 0 END ELSE 99 END AS hh FROM f WHERE y <> ''
+), l AS (
+  SELECT *, epoch_us(TRY_CAST(printf('%s-%02d-%02d', y, m, d::INT) AS TIMESTAMP)) + ((hh * 60 + mi::BIGINT) * 60 + coalesce(nullif(s, '')::BIGINT, 0)) * 1000000 + rpad(fr[1:6], 6, '0')::BIGINT AS us,
+    coalesce(named, CASE WHEN coalesce(src, '') <> 'embedded' THEN site_zone END, 'UTC') AS zone
+  FROM n WHERE hh < 24 AND mi::INT < 60 AND coalesce(nullif(s, '')::INT, 0) < 60
+), t AS (
+  SELECT *, us - {_shift('us - 86400000000')} AS before, us - {_shift('us + 86400000000')} AS later FROM l WHERE us IS NOT NULL
+)
+SELECT id AS source_id, CASE WHEN minutes IS NOT NULL THEN us - minutes::BIGINT * 60000000
+    WHEN before + {_shift('before')} <> us AND later + {_shift('later')} = us THEN later ELSE before END AS capture_utc_us FROM t
+UNION SELECT id, v::BIGINT * CASE length(v) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END FROM z WHERE counted
+"""
+
 ORACLES = {
+    "p3_found": _P3,
     "p2_found": _P2 + "SELECT table_name, row_id, month_utc, cause FROM found",
     "p2_orphans_by_period": _P2 + "SELECT table_name, month_utc, cause, count(*) AS n_rows FROM found GROUP BY ALL",
     "p5_found": f"""
