@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from operator import mul
@@ -110,6 +111,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def _enclosed(text: str, found: list[re.Match]) -> list[tuple[int, int]]:
     """Outermost matched quotes and brackets: the places of the opening and the closing character."""
     stack: list[tuple[str, int]] = []
+    wanted: Counter = Counter()  # how often a closing character is awaited by the stack
     pairs = []
     for m in found:
         c, i = m[0], m.start()
@@ -120,21 +122,23 @@ def _enclosed(text: str, found: list[re.Match]) -> list[tuple[int, int]]:
         if c == "’" and before.isalpha() and after.isalpha():
             continue  # an apostrophe
         if c == '"':
-            closes = any(want == c for want, _ in stack)
+            closes = wanted[c] > 0
             opening = None if closes else c
         else:
-            closes = any(want == c or (c == "”" and want == "“") for want, _ in stack)
+            closes = wanted[c] > 0 or (c == "”" and wanted["“"] > 0)
             opening = _PAIRS.get(c)
             if c == "»" and not closes and not (before.isspace() or before in _PAIRS):
                 opening = None
         if closes:
             while stack:
                 want, start = stack.pop()
+                wanted[want] -= 1
                 if want == c or (c == "”" and want == "“"):
                     pairs.append((start, i))
                     break
         elif opening:
             stack.append((opening, i))
+            wanted[opening] += 1
     pairs.sort()
     outer: list[tuple[int, int]] = []
     for a, b in pairs:
@@ -226,6 +230,7 @@ def candidates(text: str) -> list[Candidate]:
     found = list(_SPECIAL.finditer(text))
     outer = _enclosed(text, found)
     closing = {b: a for a, b in outer}
+    opened = {a for a, _ in outer}
     out: list[Candidate] = []
     inside, k = -1, 0
     limit = len(text.rstrip())
@@ -249,12 +254,12 @@ def candidates(text: str) -> list[Candidate]:
             while mark_at > closing[i] and text[mark_at - 1] in _MARKS:
                 mark_at -= 1
             kind = "bracket" if text[closing[i]] in _BRACKETS else "quote"
-            before = text[: closing[i]].rstrip()
-            alone = kind == "bracket" and (not before or (bool(out) and out[-1].next == closing[i] and before[-1] in _MARKS or before[-1:] in _CLOSERS and bool(out) and out[-1].next == closing[i]))
+            # A bracket stands alone where it begins the paragraph or right behind the last candidate.
+            alone = kind == "bracket" and (closing[i] == 0 or (bool(out) and out[-1].next == closing[i]))
             c, end = text[mark_at:j + 1], i + 1
         else:
             continue
-        while end < limit and text[end] in _CLOSERS and end not in closing and not (text[end] in _PAIRS and any(a == end for a, _ in outer)):
+        while end < limit and text[end] in _CLOSERS and end not in closing and end not in opened:
             end += 1
         following = end
         while following < limit and text[following].isspace():
@@ -485,8 +490,10 @@ def units(text: str | None, counts: Counts, weights: np.ndarray) -> list[tuple[i
                     cuts.append((c.end, c.next))
             if "฀" <= max(body) and _THAI_GAP.search(body):
                 outer = _enclosed(body, list(_SPECIAL.finditer(body)))
+                begins = [a for a, _ in outer]
                 for m in _THAI_GAP.finditer(body):
-                    if not any(a < m.start() < b for a, b in outer):
+                    k = bisect_left(begins, m.start()) - 1
+                    if k < 0 or m.start() >= outer[k][1]:
                         cuts.append((m.start(), m.end()))
                 cuts = sorted(set(cuts))
         at = 0

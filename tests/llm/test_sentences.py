@@ -77,6 +77,16 @@ def test_no_candidate_inside_names_and_numbers():
     assert candidates("v2.5.18 3.2 clip.3256.mp4 D:\\a\\clip.1.mp4 00:827.39 .5 U.S.A x") == []
 
 
+def test_long_blocks_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for text in ("(" * 200_000 + "”" * 200_000, "“a.” " * 100_000, "(a.) B " * 100_000, ".” " * 150_000, "a. " * 200_000, "x\n" * 200_000):
+        for begin, end, _ in blocks(text):
+            candidates(text[begin:end].strip())
+    assert time.process_time() - began < 60
+
+
 def test_maximum_entropy_recovers_a_model():
     import numpy as np
 
