@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -21,6 +22,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words kept in a task's cache; when it is full it is emptied, which changes the speed and not the result.
 CACHED_WORDS = 200_000
 
+#: Words of more bytes are merged by a queue: rounds over them would go on for as long as there are different pairs.
+LONG_WORD = 2000
+
 #: Texts of a batch are encoded in portions of so many characters, so that long texts bound the memory used.
 PORTION_CHARS = 1_000_000
 
@@ -59,6 +63,7 @@ class ByteBpe:
         self.ranks = order.astype(np.int64)
         self.made = np.array(made, np.int64)[order]
         self.words = regex.compile(WORD_PATTERN)
+        self.pairs: dict[int, tuple[int, int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -82,6 +87,32 @@ class ByteBpe:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: pairs wait in a queue by rank, then place, and merge in linked lists."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        symbols = self.base[np.frombuffer(word, np.uint8)].tolist()
+        n, size = len(symbols), self.size
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = []
+        for i in range(n - 1):
+            if found := self.pairs.get(key := symbols[i] * size + symbols[i + 1]):
+                queue.append((found[0], i, key))
+        heapq.heapify(queue)
+        while queue:
+            _, i, key = heapq.heappop(queue)
+            j = after[i] if symbols[i] >= 0 else n
+            if j >= n or symbols[i] * size + symbols[j] != key:
+                continue  # one of the two has merged otherwise
+            symbols[i], symbols[j] = self.pairs[key][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (found := self.pairs.get(key := symbols[left] * size + symbols[right])):
+                    heapq.heappush(queue, (found[0], left, key))
+        return np.array([x for x in symbols if x >= 0], np.int32)
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word.
 
@@ -91,6 +122,10 @@ class ByteBpe:
         at once is exact, as a pair with a merged symbol always has a higher rank than the merge that made it.
         """
         done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                done[i] = self.merge_long(w)
+        words = [w if len(w) <= LONG_WORD else b"" for w in words]
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.base[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)

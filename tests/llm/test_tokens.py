@@ -14,6 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(os.path.join(TOKENIZER_FOLDER
 def texts():
     rng = random.Random(1)
     out = ["", "a" * 3000, "==" * 2000, " " * 700, "<|endoftext|> x", "\x00\x01�", "ab" * 999, "don't we'll I'D\r\n\t x"]
+    out += ["".join(rng.choice("abcdeéxyz漢") for _ in range(20_000)), "a" * 9999, "abab" * 3000 + "c", "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9000))]
     out += ["".join(chr(rng.randrange(1, 0x2FFF)) for _ in range(200)) for _ in range(50)]
     out += ["".join(rng.choice("abcde 01,.é漢😀ه") for _ in range(500)) for _ in range(50)]
     return out
