@@ -61,8 +61,9 @@ def file_names(items: DataFrame, stem: str, extension: str, order: str, occupied
     taken = none if occupied is None else occupied.select(F.lower(F.col(occupied.columns[0])).alias("low_name")).distinct()
     dotted = F.lit(dot_ext)
     held = taken.where(F.endswith("low_name", dotted)).select(F.expr(f"left(low_name, length(low_name) - {len(dot_ext)})").alias("low"))
-    # Natural names that look like a numbered one make that number unavailable for the stem before it.
-    pattern = r"^(.*)_(\d{4,6})$"
+    # Natural names that look like a numbered one make that number unavailable for the stem before it. A longer number
+    # with zeros before it is never given, and one of over nine digits never reached.
+    pattern = r"^(.*)_(\d{4}|[1-9]\d{4,8})$"
     natural = clean.select("low").union(held).distinct().where(F.col("low").rlike(pattern))
     blocked = natural.select(F.regexp_extract("low", pattern, 1).alias("low"), F.regexp_extract("low", pattern, 2).cast("int").alias("number")).groupBy("low").agg(F.array_sort(F.collect_set("number")).alias("blocked"))
     used = held.distinct().withColumn("used", F.lit(1))
@@ -71,7 +72,7 @@ def file_names(items: DataFrame, stem: str, extension: str, order: str, occupied
     # The nth name is number n, moved on by every blocked number at or under it.
     moved = F.aggregate(F.coalesce("blocked", F.array().cast("array<int>")), F.col("nth"), lambda n, b: F.when((b >= 2) & (b <= n), n + 1).otherwise(n))
     number = F.when(F.col("nth") == 1, 1).otherwise(moved)
-    name = F.when(number == 1, F.concat("base", dotted)).otherwise(F.concat("base", F.lit("_"), F.lpad(number.cast("string"), 4, "0"), dotted))
+    name = F.when(number == 1, F.concat("base", dotted)).otherwise(F.concat("base", F.lit("_"), F.format_string("%04d", number), dotted))
     return ranked.withColumn("file_name", name).select(*items.columns, "file_name")
 
 

@@ -105,6 +105,16 @@ def test_file_names(spark):
         file_names(items, "stem", "p/ng", "i")
 
 
+def test_file_names_of_many_conflicts(spark):
+    rows = [*[(i, "frame") for i in range(1, 12_002)], (20_000, "frame_10005"), (20_001, "frame_0010006")]
+    items = spark.createDataFrame(rows, "i bigint, stem string")
+    occupied = spark.createDataFrame([("frame_10003.png",), ("frame_1234567.png",)], "n string")
+    got = {r["i"]: r["file_name"] for r in file_names(items, "stem", "png", "i", occupied).collect()}
+    assert len(set(got.values())) == len(got) == 12_003 and not {"frame_10003.png", "frame_1234567.png"} & set(got.values())
+    assert [got[i] for i in (1, 1000, 9999, 10_000, 10_003, 10_004)] == ["frame.png", "frame_1000.png", "frame_9999.png", "frame_10000.png", "frame_10004.png", "frame_10006.png"]
+    assert got[12_001] == "frame_12003.png" and got[20_000] == "frame_10005.png" and got[20_001] == "frame_0010006.png"
+
+
 def test_templates(spark):
     assert parse_template("a}b{row}") == [("text", "a}b"), ("field", "row")]
     for bad in ("", " ", "{row", "{nope}", "{row}}"):
