@@ -40,16 +40,24 @@ def _with_strategy(strategy: str):
     return query
 
 
-def tile_exclusions(spark: SparkSession, folder: str) -> DataFrame:
-    """The tile plan without excluded tiles (here the last column of the first row of profiles whose tiles overlap)."""
-    tiles = plan_tiles(_regions(spark, folder)).where("overlap_x > 0")
-    excluded = tiles.where("tile_row = 0").groupBy("profile_id", "tile_row").agg(F.max("tile_column").alias("tile_column"))
+def _kept(tiles: DataFrame) -> DataFrame:
     keys = ["profile_id", "tile_row", "tile_column"]
+    excluded = tiles.where("overlap_x > 0 and tile_row = 0").groupBy("profile_id", "tile_row").agg(F.max("tile_column").alias("tile_column"))
     a, b = tiles.alias("a"), excluded.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     return a.join(b, same, "left_anti").select(*keys)
 
 
+def tile_exclusions(spark: SparkSession, folder: str) -> DataFrame:
+    """The tile plan of the profiles whose tiles overlap, without excluded tiles (here the last column of the first row)."""
+    return _kept(plan_tiles(_regions(spark, folder)).where("overlap_x > 0"))
+
+
+def tile_exclusions_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The tile plan of every profile without excluded tiles (here the last column of the first row of profiles whose tiles overlap)."""
+    return _kept(plan_tiles(_regions(spark, folder)))
+
+
 def tile_names(spark: SparkSession, folder: str) -> DataFrame:
     """The file name of every preview tile."""
     tiles = plan_tiles(_regions(spark, folder))
@@ -80,7 +88,7 @@ def roi_validity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(sources, "source_key").select(F.col("id").alias("profile_id"), "source_key", inside.alias("inside"))
 
 
-QUERIES = {f.__name__: f for f in (tile_plan, tile_exclusions, tile_names, tile_totals, roi_effective_profiles, roi_validity)} | {f"tile_plan_{s}": _with_strategy(s) for s in STRATEGIES}
+QUERIES = {f.__name__: f for f in (tile_plan, tile_exclusions, tile_exclusions_all, tile_names, tile_totals, roi_effective_profiles, roi_validity)} | {f"tile_plan_{s}": _with_strategy(s) for s in STRATEGIES}
 
 _PROFILES = r"""profiles AS (SELECT *, (j->'tile'->>'tile_width')::INT AS tile_width, (j->'tile'->>'tile_height')::INT AS tile_height, (j->'tile'->>'overlap_x')::INT AS overlap_x,
   (j->'tile'->>'overlap_y')::INT AS overlap_y, j->'tile'->>'edge_strategy' AS edge_strategy FROM
@@ -113,6 +121,7 @@ ORACLES = {
     "tile_plan": _tile_rows("edge_strategy"),
     **{f"tile_plan_{s}": _tile_rows(f"'{s}'") for s in STRATEGIES},
     "tile_exclusions": f"WITH {_tiles('edge_strategy')}, t AS (SELECT *, max(tile_column) OVER (PARTITION BY profile_id, tile_row) AS last FROM tiles WHERE overlap_x > 0) SELECT profile_id, tile_row, tile_column FROM t WHERE NOT (tile_row = 0 AND tile_column = last)",
+    "tile_exclusions_all": f"WITH {_tiles('edge_strategy')}, t AS (SELECT *, max(tile_column) OVER (PARTITION BY profile_id, tile_row) AS last FROM tiles) SELECT profile_id, tile_row, tile_column FROM t WHERE NOT (coalesce(overlap_x > 0, false) AND tile_row = 0 AND tile_column = last)",
     "tile_names": f"WITH {_tiles('edge_strategy')} SELECT profile_id, printf('%s-r%04d-c%04d.jpg', profile_id, tile_row, tile_column) AS file_name FROM tiles",
     "tile_totals": f"WITH {_tiles('edge_strategy')} SELECT edge_strategy, count(*) AS n_tiles, count(*) FILTER (source_width < tile_width OR source_height < tile_height) AS n_padded, sum(source_width::BIGINT * source_height)::BIGINT AS pixels FROM tiles GROUP BY ALL",
     "roi_effective_profiles": f"""WITH {views.ASSETS}, {_PROFILES}, p AS (SELECT *, {_SCOPE} AS scope, lower(name) AS low_name FROM profiles), b AS (

@@ -25,3 +25,9 @@ def test_export_covers_candidates(spark):
     assert run["export_index_all"].count() == len(tiles) == run["export_totals_all"].agg({"n_items": "sum"}).first()[0]
     assert run["item_hashes_all"].select("item_hash").distinct().count() == len(tiles)
     assert all(f"_{r['video_offset_ms']}_" in r["raw_name"] for r in run["render_names_all"].where("candidate_id is not null").collect())
+
+
+def test_exclusions_keep_other_profiles(spark):
+    plan, kept = (entry.queries()[k](spark, str(FOLDER)).select("profile_id", "tile_row", "tile_column") for k in ("tile_plan", "tile_exclusions_all"))
+    assert kept.select("profile_id").distinct().count() > entry.queries()["tile_exclusions"](spark, str(FOLDER)).select("profile_id").distinct().count()
+    assert all(r["tile_row"] == 0 for r in plan.exceptAll(kept).collect()) and kept.exceptAll(plan).count() == 0
