@@ -67,6 +67,30 @@ def range_times(start: Column, end: Column, step: int) -> Column:
     return F.transform(_upto(F.ceil((end - start) / step)), lambda i: start + i * step)
 
 
+def explode_counted(rows: DataFrame, count: Column, outer: bool = False) -> DataFrame:
+    """Add ``i``: a row for each of 0 .. count - 1, in pieces of at most the largest plan, so that counts have no limit.
+
+    Rows whose count is null or under one have none; with ``outer``, one with a null.
+    """
+    explode = F.explode_outer if outer else F.explode
+    counted = rows.withColumn("_n", count.cast("bigint"))
+    starts = F.when(F.col("_n") >= 1, F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("_n"), F.lit(1)) - 1, F.lit(LARGEST_PLAN).cast("bigint")))
+    pieces = counted.select("*", explode(starts).alias("_first"))
+    return pieces.select(*rows.columns, explode(F.sequence("_first", F.least(F.col("_first") + LARGEST_PLAN, F.col("_n")) - 1)).alias("i"))
+
+
+def frame_counts(duration: Column, rate: Column, every: int) -> Column:
+    """At least as many as there are frames 0, every, 2 every ... under the duration; null without a rate."""
+    num, den = rate_parts(rate)
+    return F.floor(duration.cast("double") * num / (den * 1000.0 * every)) + 2
+
+
+def frame_time(rate: Column, i: Column, every: int) -> Column:
+    """The time of frame i * every of a constant rate, in whole milliseconds."""
+    num, den = rate_parts(rate)
+    return _div(i * every * den * 1000 + _div(num, 2), num)
+
+
 def snap_to_frames(times: DataFrame, frames: DataFrame, entity: str, time: str, frame: str) -> DataFrame:
     """Add ``snapped``: the nearest frame time of the entity, the earlier of two equally near; null without frames.
 

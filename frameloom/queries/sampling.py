@@ -19,13 +19,16 @@ def _exploded(rows: DataFrame, plan) -> DataFrame:
 
 def plan_fixed_interval(spark: SparkSession, folder: str) -> DataFrame:
     """A frame a minute of every video."""
-    return _exploded(views.videos(spark, folder), sampling.fixed_interval(F.col("duration_ms"), STEP_MS))
+    rows = sampling.explode_counted(views.videos(spark, folder), F.ceil(F.col("duration_ms") / STEP_MS))
+    return rows.select("source", (F.col("i") * STEP_MS).alias("t_ms"))
 
 
 def plan_frame_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Every 1800th frame of every video with a rate."""
-    plan = sampling.frame_interval(F.col("duration_ms"), F.col("frame_rate"), EVERY)
-    return _exploded(views.videos(spark, folder), plan)
+    rate = F.col("frame_rate")
+    rows = sampling.explode_counted(views.videos(spark, folder), sampling.frame_counts(F.col("duration_ms"), rate, EVERY))
+    timed = rows.select("source", "duration_ms", "i", sampling.frame_time(rate, F.col("i"), EVERY).alias("t_ms"), sampling.frame_time(rate, F.col("i") - 1, EVERY).alias("before"))
+    return timed.where("t_ms < duration_ms and (i = 0 or t_ms > before)").select("source", "t_ms")
 
 
 def plan_target_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,8 +38,8 @@ def plan_target_count(spark: SparkSession, folder: str) -> DataFrame:
 
 def plan_valid_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """A frame every 5 seconds of every selection; overlaps count once."""
-    rows = views.selections(spark, folder)
-    return _exploded(rows, sampling.range_times(F.col("start_ms"), F.col("end_ms"), RANGE_STEP_MS)).distinct()
+    rows = sampling.explode_counted(views.selections(spark, folder), F.ceil((F.col("end_ms") - F.col("start_ms")) / RANGE_STEP_MS))
+    return rows.select("source", (F.col("start_ms") + F.col("i") * RANGE_STEP_MS).alias("t_ms")).distinct()
 
 
 def plan_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +94,7 @@ def new_times(spark: SparkSession, folder: str) -> DataFrame:
 def group_sampling_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """The estimate of the fixed plan rolled up per source group; sources without a plan count as sources only."""
     videos = views.videos(spark, folder)
-    planned = videos.select("source", "source_group", F.explode_outer(sampling.fixed_interval(F.col("duration_ms"), STEP_MS)).alias("t_ms"))
+    planned = sampling.explode_counted(videos, F.ceil(F.col("duration_ms") / STEP_MS), outer=True).select("source", "source_group", (F.col("i") * STEP_MS).alias("t_ms"))
     there = views.candidates(spark, folder).select("source", F.col("video_offset_ms").alias("t_ms"))
     hits = sampling.nearest_within(planned, there, "source", "t_ms")
     return hits.groupBy("source_group").agg(F.countDistinct("source").alias("n_sources"), F.count("t_ms").alias("n_planned"), F.count("nearest").alias("n_existing"))

@@ -31,3 +31,13 @@ def test_exclusions_keep_other_profiles(spark):
     plan, kept = (entry.queries()[k](spark, str(FOLDER)).select("profile_id", "tile_row", "tile_column") for k in ("tile_plan", "tile_exclusions_all"))
     assert kept.select("profile_id").distinct().count() > entry.queries()["tile_exclusions"](spark, str(FOLDER)).select("profile_id").distinct().count()
     assert all(r["tile_row"] == 0 for r in plan.exceptAll(kept).collect()) and kept.exceptAll(plan).count() == 0
+
+
+def test_plans_over_the_largest_piece(spark, monkeypatch):
+    from frameloom.plans import sampling
+
+    names = ("plan_fixed_interval", "plan_frame_interval", "plan_valid_ranges", "group_sampling_rollup")
+    run = lambda: [sorted(map(tuple, entry.queries()[k](spark, str(FOLDER)).collect()), key=repr) for k in names]
+    whole = run()
+    monkeypatch.setattr(sampling, "LARGEST_PLAN", 7)
+    assert run() == whole and all(whole)
