@@ -31,7 +31,7 @@ def decode_png(data: bytes) -> np.ndarray:
     """The (height, width, channels) array of an 8-bit PNG without interlacing or palette; ValueError for others."""
     if data[:8] != _SIGNATURE:
         raise ValueError("no PNG")
-    at, packed, head = 8, b"", None
+    at, packed, head = 8, [], None
     while at + 8 <= len(data):
         (length,), tag = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         body = data[at + 8 : at + 8 + length]
@@ -40,13 +40,13 @@ def decode_png(data: bytes) -> np.ndarray:
         if tag == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
         elif tag == b"IDAT":
-            packed += body
+            packed.append(body)
         at += 12 + length
     if not head or head[2] != 8 or head[3] not in _CHANNELS or head[6]:
         raise ValueError("a kind of PNG that isn't supported")
     width, height, channels = head[0], head[1], _CHANNELS[head[3]]
     try:
-        raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * channels)
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * channels)
     except (zlib.error, ValueError) as e:
         raise ValueError("a truncated file") from e
     out = np.zeros((height, width * channels), np.int32)
@@ -58,21 +58,27 @@ def decode_png(data: bytes) -> np.ndarray:
         elif mode == 1:
             line = np.cumsum(line.reshape(-1, channels), axis=0).reshape(-1)
         elif mode in (3, 4):
-            line = line.copy()
-            for i in range(len(line)):
-                left, up = (line[i - channels] if i >= channels else 0), above[i]
-                if mode == 3:
-                    guess = (left + up) // 2
-                else:
-                    corner = above[i - channels] if i >= channels else 0
-                    p = left + up - corner
-                    far = (abs(p - left), abs(p - up), abs(p - corner))
-                    guess = left if far[0] <= far[1] and far[0] <= far[2] else up if far[1] <= far[2] else corner
-                line[i] = (line[i] + guess) & 255
+            line = np.array(_unpredicted(line.tolist(), above.tolist(), channels, mode == 3), np.int32)
         above = out[y] = line & 255
     return out.reshape(height, width, channels).astype(np.uint8)
 
 
+def _unpredicted(line: list[int], above: list[int], channels: int, average: bool) -> list[int]:
+    """A row of bytes whose values were given against the average of, or the nearest among, their neighbours."""
+    done = [0] * channels
+    corner = [0] * channels + above
+    for i, value in enumerate(line):
+        left, up = done[i], above[i]
+        if average:
+            guess = (left + up) >> 1
+        else:
+            c = corner[i]
+            from_left, from_up, from_corner = abs(up - c), abs(left - c), abs(left + up - 2 * c)
+            guess = left if from_left <= from_up and from_left <= from_corner else up if from_up <= from_corner else c
+        done.append((value + guess) & 255)
+    return done[channels:]
+
+
 def luma(pixels: np.ndarray) -> np.ndarray:
     """Brightness of RGB(A) pixels by the Rec. 709 weights, in whole levels; gray stays as it is."""
     a = np.atleast_3d(pixels)

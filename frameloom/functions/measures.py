@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def rate_parts(rate: Column) -> tuple[Column, Column]:
-    """Numerator and denominator of a rate written ``num/den``; null unless both are over zero."""
-    part = lambda i: F.nullif(F.regexp_extract(rate, r"^\s*(\d{1,9})/(\d{1,9})\s*$", i), F.lit("")).cast("bigint")
-    num, den = part(1), part(2)
+    """Numerator and denominator of a rate written ``num/den``, or ``num`` alone; null unless both are over zero."""
+    shape = r"^\s*(\d{1,9})(?:/(\d{1,9}))?\s*$"
+    part = lambda i: F.nullif(F.regexp_extract(rate, shape, i), F.lit("")).cast("bigint")
+    num = part(1)
+    den = F.when(rate.rlike(shape), F.coalesce(part(2), F.lit(1)))
     sound = (num > 0) & (den > 0)
     return F.when(sound, num), F.when(sound, den)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.session import cut
+from frameloom.session import cut, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = cut(small)
+        former, e = e, cut(small)
+        release(former)
         mark = F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 31) - 1).cast("bigint")))
         state = e.agg(F.count("*"), mark).first()
         if state == seen:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.names import sanitized_stem
+from frameloom.functions.text import ascii_lower
 
 # The fields of a naming template.
 FIELDS = ("source", "source_group", "source_identifier", "timestamp_ms", "roi", "row", "col", "width", "height", "index")
@@ -47,7 +48,7 @@ def render_template(template: str, fields: Mapping[str, Column]) -> Column:
 def file_names(items: DataFrame, stem: str, extension: str, order: str, occupied: DataFrame | None = None) -> DataFrame:
     """Add ``file_name``: the sanitized stem with its extension, and ``_0002``, ``_0003`` ... on conflicts.
 
-    Names are compared in lower case. The first item (by ``order``) of a name gets it, the next ones get sequence
+    Names are compared without regard to the case of A..Z. The first item (by ``order``) of a name gets it, the next ones get sequence
     numbers from 2, unless the name is in ``occupied`` (one column of file names), when all get numbers. A numbered
     name that other items or files hold by nature is left out of the sequence: the numbers that are free are counted
     off in order. Items are numbered within their own name only; no plan is gathered in one task beyond the items
@@ -56,9 +57,9 @@ def file_names(items: DataFrame, stem: str, extension: str, order: str, occupied
     if not re.fullmatch(r"\.*[A-Za-z0-9]+", extension):
         raise ValueError("an extension has letters and digits only")
     dot_ext = "." + extension.lstrip(".").lower()
-    clean = items.withColumn("base", sanitized_stem(F.col(stem))).withColumn("low", F.lower("base"))
+    clean = items.withColumn("base", sanitized_stem(F.col(stem))).withColumn("low", ascii_lower(F.col("base")))
     none = items.sparkSession.createDataFrame([], "low_name string")
-    taken = none if occupied is None else occupied.select(F.lower(F.col(occupied.columns[0])).alias("low_name")).distinct()
+    taken = none if occupied is None else occupied.select(ascii_lower(F.col(occupied.columns[0])).alias("low_name")).distinct()
     dotted = F.lit(dot_ext)
     held = taken.where(F.endswith("low_name", dotted)).select(F.expr(f"left(low_name, length(low_name) - {len(dot_ext)})").alias("low"))
     # Natural names that look like a numbered one make that number unavailable for the stem before it. A longer number

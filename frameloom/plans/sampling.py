@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.measures import rate_parts
 
-#: A plan of one source with more points than this is refused: its plan is null.
+#: A plan of one source with more points than this is refused with an error, where it is to be one array.
 LARGEST_PLAN = 100_000
 
 _NONE = "cast(array() as array<bigint>)"
@@ -19,9 +19,10 @@ def _div(a: Column, b: Column | int) -> Column:
 
 
 def _upto(count: Column) -> Column:
-    """0 .. count - 1; empty for counts under one, null for more than the largest plan."""
+    """0 .. count - 1; empty for counts under one, an error for more than the largest plan."""
     safe = F.when(count.between(1, LARGEST_PLAN), count)
-    return F.when(count < 1, F.expr(_NONE)).when(safe.isNotNull(), F.sequence(F.lit(0).cast("bigint"), safe - 1))
+    refused = F.raise_error(F.format_string(f"a plan of %d points is over the limit of {LARGEST_PLAN}", count.cast("bigint"))).cast("array<bigint>")
+    return F.when(count < 1, F.expr(_NONE)).when(safe.isNotNull(), F.sequence(F.lit(0).cast("bigint"), safe - 1)).when(count.isNotNull(), refused)
 
 
 def fixed_interval(duration: Column, step: int) -> Column:
@@ -38,10 +39,8 @@ def frame_interval(duration: Column, rate: Column, every: int) -> Column:
     """
     if every <= 0:
         raise ValueError("the frame interval must be positive")
-    num, den = rate_parts(rate)
-    at = lambda i: _div(i * every * den * 1000 + _div(num, 2), num)
-    count = F.floor(duration.cast("double") * num / (den * 1000.0 * every)) + 2
-    times = F.filter(F.transform(_upto(count), at), lambda t: t < duration)
+    num, _ = rate_parts(rate)
+    times = F.transform(_upto(frame_counts(duration, rate, every)), lambda i: frame_time(rate, i, every))
     return F.array_distinct(F.when(num.isNotNull(), times))
 
 
@@ -80,9 +79,14 @@ def explode_counted(rows: DataFrame, count: Column, outer: bool = False) -> Data
 
 
 def frame_counts(duration: Column, rate: Column, every: int) -> Column:
-    """At least as many as there are frames 0, every, 2 every ... under the duration; null without a rate."""
+    """How many frames 0, every, 2 every ... have a time under the duration; null without a rate.
+
+    Frame n is under it if n * den * 1000 + num div 2 < duration * num: exact integers decide.
+    """
     num, den = rate_parts(rate)
-    return F.floor(duration.cast("double") * num / (den * 1000.0 * every)) + 2
+    room = duration.cast("decimal(18,0)") * num.cast("decimal(10,0)") - _div(num, 2).cast("decimal(10,0)")
+    each = den.cast("decimal(10,0)") * F.lit(1000 * every).cast("decimal(13,0)")
+    return F.when(num.isNotNull(), F.when(room > 0, F.call_function("div", room + each - 1, each)).otherwise(0).cast("bigint"))
 
 
 def frame_time(rate: Column, i: Column, every: int) -> Column:

@@ -27,8 +27,8 @@ def plan_frame_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Every 1800th frame of every video with a rate."""
     rate = F.col("frame_rate")
     rows = sampling.explode_counted(views.videos(spark, folder), sampling.frame_counts(F.col("duration_ms"), rate, EVERY))
-    timed = rows.select("source", "duration_ms", "i", sampling.frame_time(rate, F.col("i"), EVERY).alias("t_ms"), sampling.frame_time(rate, F.col("i") - 1, EVERY).alias("before"))
-    return timed.where("t_ms < duration_ms and (i = 0 or t_ms > before)").select("source", "t_ms")
+    timed = rows.select("source", "i", sampling.frame_time(rate, F.col("i"), EVERY).alias("t_ms"), sampling.frame_time(rate, F.col("i") - 1, EVERY).alias("before"))
+    return timed.where("i = 0 or t_ms > before").select("source", "t_ms")
 
 
 def plan_target_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,8 +44,8 @@ def plan_valid_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 def plan_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """How many frames a plan of 20 ms steps has, and which plans are over the limit."""
-    n = F.size(sampling.fixed_interval(F.col("duration_ms"), 20))
-    return views.videos(spark, folder).select("source", F.when(n >= 0, n).alias("n_planned"), F.ceil(F.col("duration_ms") / 20).alias("n_wanted"))
+    n = F.ceil(F.col("duration_ms") / 20)
+    return views.videos(spark, folder).select("source", F.when(n <= sampling.LARGEST_PLAN, n).alias("n_planned"), n.alias("n_wanted"))
 
 
 def every_nth_candidate(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +134,7 @@ _MATCH = f"""WITH {_RANGES}, {_C}, hit AS (SELECT p.source, p.t_ms, bool_or(c.so
 
 ORACLES = {
     "plan_fixed_interval": _V + f" SELECT source, unnest(generate_series(0, duration_ms - 1, {STEP_MS})) AS t_ms FROM videos",
-    "plan_frame_interval": _V + f""", r AS (SELECT *, split_part(frame_rate, '/', 1)::HUGEINT AS num, split_part(frame_rate, '/', 2)::HUGEINT AS den FROM videos),
+    "plan_frame_interval": _V + f""", r AS (SELECT *, split_part(frame_rate, '/', 1)::HUGEINT AS num, coalesce(nullif(split_part(frame_rate, '/', 2), ''), '1')::HUGEINT AS den FROM videos),
         n AS (SELECT *, unnest(generate_series(0, (duration_ms * num // (den * 1000 * {EVERY}))::BIGINT + 1)) AS i FROM r WHERE num > 0 AND den > 0),
         t AS (SELECT source, duration_ms, ((i * {EVERY} * den * 1000 + num // 2) // num)::BIGINT AS t_ms FROM n)
         SELECT DISTINCT source, t_ms FROM t WHERE t_ms < duration_ms""",

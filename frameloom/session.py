@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,13 +32,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app_nam
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's own setting, or a temporary one where none is set.
 
-    A temporary folder is only right where driver and executors share a machine, as in tests.
+    A temporary folder is only right where driver and executors are one process, as in tests: elsewhere a missing
+    setting is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="frameloom-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -48,14 +52,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the checkpoint of a frame that ``cut`` returned, once nothing is computed from it any more."""
+    plan = df._jdf.queryExecution().logical()
+    stored = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+    if stored is not None and stored.isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(stored.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_if_counted(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A materialised join side: broadcast if it has at most so many rows, else joined by shuffle."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A join side with its lineage cut: broadcast if it has at most so many rows, else joined by shuffle.
 
     For sides that are tiny in all likelihood but have no proven bound. The count is of what was really computed, so
     the other side isn't shuffled by a key of few values only to find that out.
     """
-    df = cut(df)
-    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return small_if_counted(cut(df), rows)
 
 
 _shipped: set[str] = set()

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from frameloom.session import ensure_checkpoint_dir
@@ -58,12 +59,14 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
+    written: list[int] = []  # this function runs where the query was started
+
     def write(batch: DataFrame, number: int) -> None:
+        written.append(number)
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    try:
-        return spark.read.parquet(f"{base}/out")
-    except Exception:  # no batch wrote anything: an empty table
-        return spark.createDataFrame([], stream.schema.add("batch", "int"))
+    if not written:
+        return spark.createDataFrame([], T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())]))
+    return spark.read.parquet(f"{base}/out")
