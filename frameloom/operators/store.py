@@ -77,3 +77,39 @@ def event_state(events: DataFrame, entity: str, order: str, action: str) -> Data
     decision = F.max_by(F.struct(value.alias("v")), F.when(decides, at))["v"]
     locked = F.max_by(a == "lock", F.when(a.isin("lock", "unlock"), at))
     return events.groupBy(entity).agg(decision.alias("decision"), F.coalesce(locked, F.lit(False)).alias("locked"))
+
+
+def set_representatives(states: DataFrame, wanted: DataFrame, group: str, key: str) -> DataFrame:
+    """Groups with another representative: (key, group, representative, status, locked, changed).
+
+    ``states`` has key, group, representative, status and locked; ``wanted`` one key per group. Only where the wanted
+    key belongs to the group does anything change: it is kept, locked members become warnings, all others are
+    suggested for exclusion. One semi join finds the wishes that hold; repeated wishes for a group take the greatest.
+    """
+    one = wanted.groupBy(group).agg(F.max(key).alias("chosen"))
+    held = one.join(states.select(F.col(group), F.col(key).alias("chosen")), [group, "chosen"], "left_semi")
+    rows = states.join(held, group, "left")
+    mine = F.col(key) == F.col("chosen")
+    changed = F.col("chosen").isNotNull()
+    status = F.when(~changed, F.col("status")).when(mine, "keep").when(F.col("locked"), "warning").otherwise("suggest_exclude")
+    return rows.select(key, group, F.when(changed, mine).otherwise(F.col("representative")).alias("representative"), status.alias("status"), "locked", changed.alias("changed"))
+
+
+def reset_columns(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """All rows with some columns set back; the others stay as they are."""
+    return df.select(*[values[c].alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def update_by_key(old: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of ``old`` with columns from ``changes`` (one row per key) where the key is there; keys only in ``changes`` add nothing."""
+    new = changes.select(*keys, F.struct(*columns).alias("_new"))
+    rows = old.join(new, list(keys), "left")
+    pick = lambda c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+    return rows.select(*[pick(c) if c in columns else F.col(c) for c in old.columns])
+
+
+def delete_by_key(old: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows that stay, which of the wanted keys were there): a wish for a key that isn't there removes nothing."""
+    wanted = gone.select(key).dropna().distinct()
+    found = wanted.join(old.select(key).distinct().withColumn("removed", F.lit(True)), key, "left")
+    return old.join(wanted, key, "left_anti"), found.select(key, F.coalesce("removed", F.lit(False)).alias("removed"))
