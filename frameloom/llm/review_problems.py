@@ -37,9 +37,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = similar_fingerprints(assets, "h")
     left = assets.select(F.col("h").alias("a"), F.col("asset_key").alias("x"))
     right = assets.select(F.col("h").alias("b"), F.col("asset_key").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("asset_key_a"), F.greatest("x", "y").alias("asset_key_b"))
-    same = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("asset_key_a"), F.col("y").alias("asset_key_b"))
-    return near.unionByName(same)
+    both = pairs.join(left, "a").join(right, "b").where("a <> b or x < y")
+    return both.select(F.least("x", "y").alias("asset_key_a"), F.greatest("x", "y").alias("asset_key_b"))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every asset with a hash: its class (the smallest key of the same hash), how many assets the class has, and how
+    many assets of any class are near copies of it; copies are counted and not expanded into pairs."""
+    assets = cut(asset_hashes(spark, folder))
+    classes = assets.groupBy("h").agg(F.min("asset_key").alias("class_key"), F.count("*").alias("n_copies"))
+    pairs = similar_fingerprints(assets, "h").where("a <> b")
+    sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = sides.join(classes.select(F.col("h").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("h")).agg(F.sum("n_copies").alias("n_near"))
+    counted = classes.join(links, "h", "left").select("h", "class_key", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_links"))
+    return assets.join(counted, "h").select("asset_key", "class_key", "n_copies", "n_links")
 
 
 def look_alike_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,11 +76,18 @@ def _claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _plain_number(value: F.Column) -> F.Column:
+    """Numbers with six decimals; other values as they are."""
+    number = F.expr("try_cast(value as double)")
+    return F.when(number.isNotNull(), F.format_string("%.6f", number)).otherwise(value)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The representative of every look-alike group of two or more assets.
 
-    The value of each field of an asset is found by truth discovery with trust declared to follow time; the group
-    then prefers pinned true, greater sharpness, greater entropy, smaller key.
+    The value of each field of an asset is found by truth discovery with recency as the prior of the votes: as the
+    problem asks for the newest value, votes are needed only where an asset has several values of one newest time. The
+    group then prefers pinned true, greater sharpness, greater entropy, smaller key.
     """
     values = (
         discover_truth(_claims(spark, folder), newest_first=True)
@@ -98,10 +116,11 @@ def p4_golden_values(spark: SparkSession, folder: str) -> DataFrame:
     names = groups.groupBy("root").agg(F.min("asset_key").alias("group_key"), F.count("*").alias("n")).where("n > 1")
     members = groups.join(names, "root").select(F.col("asset_key").alias("entity"), "group_key")
     claims = _claims(spark, folder).join(members, "entity").drop("entity").withColumnRenamed("group_key", "entity")
-    return discover_truth(claims).select(F.col("entity").alias("group_key"), "field", "value", "support", "disputed")
+    found = discover_truth(claims.withColumn("value", _plain_number(F.col("value"))))
+    return found.select(F.col("entity").alias("group_key"), "field", "value", "support", "disputed", "converged")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_golden_values": p4_golden_values}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_golden_values": p4_golden_values}
 
 _VALUES = r"""
 WITH RECURSIVE rows AS (
@@ -120,12 +139,37 @@ hash_pairs AS (
 )
 """
 
+_GROUPS = """, links AS (SELECT a, b FROM hash_pairs UNION ALL SELECT b, a FROM hash_pairs UNION ALL SELECT h, h FROM distinct_hashes),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a AS h, min(b) AS root FROM reach GROUP BY a)"""
+
+
+def _golden(rounds: int = 24) -> str:
+    """Truth discovery with its rounds written out, one after the other; more rounds than these data need."""
+    parts = [_VALUES + _GROUPS + """,
+members AS (SELECT asset_key, min(asset_key) OVER (PARTITION BY root) AS group_key, count(*) OVER (PARTITION BY root) AS n FROM hashes JOIN roots USING (h)),
+raw AS (SELECT group_key AS entity, analyzed_at::VARCHAR AS source, analyzed_at AS "at", unnest(['pinned', 'sharpness', 'entropy']) AS field,
+  unnest([pinned::VARCHAR, CASE WHEN sharpness >= 0 AND NOT isnan(sharpness) THEN printf('%.6f', sharpness) END, CASE WHEN entropy >= 0 AND NOT isnan(entropy) THEN printf('%.6f', entropy) END]) AS value
+  FROM rows JOIN members USING (asset_key) WHERE n > 1),
+claims AS MATERIALIZED (SELECT entity, field, value, source, max("at") AS "at" FROM raw WHERE value IS NOT NULL GROUP BY ALL),
+spread AS MATERIALIZED (SELECT entity, field, min(value) < max(value) AS disputed FROM claims GROUP BY ALL),
+sources AS MATERIALIZED (SELECT source, count(*) AS n FROM claims GROUP BY source), r0 AS (SELECT source, 0.5::DOUBLE AS r FROM sources)"""]
+    for i in range(rounds):
+        parts.append(f"""
+s{i} AS MATERIALIZED (SELECT entity, field, value, round(sum(-ln(1 - r)), 9) AS support, max("at") AS "at" FROM claims JOIN r{i} USING (source) GROUP BY ALL),
+v{i} AS MATERIALIZED (SELECT entity, field, (max({{'s': support, 'a': "at", 'v': value}})).v AS value, (max({{'s': support, 'a': "at", 'v': value}})).s AS support FROM s{i} GROUP BY ALL),
+r{i + 1} AS MATERIALIZED (SELECT source, (count(v.value) + 1) / (count(*) + 2) AS r FROM claims c LEFT JOIN v{i} v USING (entity, field, value) GROUP BY source)""")
+    return ",".join(parts) + f" SELECT entity AS group_key, field, value, support, disputed, true AS converged FROM v{rounds - 1} JOIN spread USING (entity, field)"
+
+
 ORACLES = {
+    "p4_golden_values": _golden(),
     "p1_found": _VALUES + "SELECT asset_key_a, asset_key_b FROM pairs",
-    "p4_found": _VALUES + """
-, links AS (SELECT a, b FROM hash_pairs UNION ALL SELECT b, a FROM hash_pairs UNION ALL SELECT h, h FROM distinct_hashes),
-reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-roots AS (SELECT a AS h, min(b) AS root FROM reach GROUP BY a),
+    "p1_classes": _VALUES + """, linked AS (SELECT asset_key_a AS k FROM pairs UNION ALL SELECT asset_key_b FROM pairs),
+n AS (SELECT k, count(*) AS n_links FROM linked GROUP BY k)
+SELECT asset_key, min(asset_key) OVER (PARTITION BY h) AS class_key, count(*) OVER (PARTITION BY h) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM hashes LEFT JOIN n ON k = asset_key""",
+    "p4_found": _VALUES + _GROUPS + """,
 pins AS (SELECT asset_key, arg_max(pinned, analyzed_at) AS pinned FROM rows WHERE pinned IS NOT NULL GROUP BY asset_key),
 sharp AS (SELECT asset_key, arg_max(sharpness, analyzed_at) AS sharpness FROM rows WHERE sharpness >= 0 AND NOT isnan(sharpness) GROUP BY asset_key),
 ent AS (SELECT asset_key, arg_max(entropy, analyzed_at) AS entropy FROM rows WHERE entropy >= 0 AND NOT isnan(entropy) GROUP BY asset_key),

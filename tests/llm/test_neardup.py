@@ -14,8 +14,9 @@ def frame(spark, values):
 
 
 def brute(values, distance):
-    v = sorted({x for x in values if x is not None})
-    return {(x, y) for i, x in enumerate(v) for y in v[i + 1 :] if (x ^ y).bit_count() <= distance}
+    known = [x for x in values if x is not None]
+    v = sorted(set(known))
+    return {(x, x) for x in v if known.count(x) > 1} | {(x, y) for i, x in enumerate(v) for y in v[i + 1 :] if (x ^ y).bit_count() <= distance}
 
 
 def clustered(rng, n, width=63):
