@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zoneinfo
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +39,14 @@ _SHAPES = {
         r"(?:\s?([ap])\.?m\.?(?![a-z]))?\s?((?:[^\d:.,\s|][^|]*)?)$"
     ),
 }
-_OFFSET = r"(?i)^(?:utc|gmt)?([+-])(\d{2}):?(\d{2})?(?:\s?[\[(][^\])]*[\])])?$"
+_OFFSET = r"(?i)^(?:utc|gmt)?([+-])(\d{1,2}(?=:|\s?[\[(]|$)|\d{2}):?(\d{2})?(?:\s?[\[(][^\])]*[\])])?$"
+
+#: How much less likely than its share of a source a format is taken to be, where the data's contract says so: dates in
+#: digits that don't begin with the year begin with the day.
+DAY_FIRST = {"mdy": 1e-18}
+
+#: What each format counts beforehand in a source's mixture, in values: none gets a share of zero.
+SMOOTHING = 0.01
 _DAY = 86_400_000_000
 
 
@@ -150,38 +157,39 @@ def parse_readings(values: DataFrame, value: str) -> DataFrame:
     )
 
 
-def mixture_posteriors(
-    masks: DataFrame, tolerance: float = 1e-9, rounds: int = 500
-) -> DataFrame:
+def mixture_posteriors(masks: DataFrame, priors: Mapping[str, float] | None = None, tolerance: float = 1e-9, rounds: int = 500) -> DataFrame:
     """Expectation-maximisation over the format mixture of each source.
 
     ``masks`` has one row per (source, mask of valid formats) with ``n`` values: the sufficient statistic, whose
     size follows the number of sources and not that of values. A value contributes likelihood under each of its
-    valid readings; the posteriors of the formats in a mask are the mixture weights restricted to it.
+    valid readings; the posteriors of the formats in a mask are the mixture weights times the priors (1 where none is
+    given), restricted to it.
     Result: source, mask, format (the best), posterior (its probability).
     """
 
+    prior = [float((priors or {}).get(f, 1.0)) for f in FORMATS]
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [[f for f in range(len(FORMATS)) if m >> f & 1] for m in rows["mask"]]
         n = rows["n"].to_numpy(float)
         weights = [1.0 / len(FORMATS)] * len(FORMATS)
         for _ in range(rounds):
-            mass = [0.0] * len(FORMATS)
+            mass = [SMOOTHING] * len(FORMATS)
             for formats, k in zip(sets, n, strict=True):
-                total = sum(weights[f] for f in formats)
+                total = sum(weights[f] * prior[f] for f in formats)
                 for f in formats:
-                    mass[f] += k * (weights[f] / total if total > 0 else 1 / len(formats))
-            new = [m / n.sum() for m in mass]
+                    mass[f] += k * (weights[f] * prior[f] / total if total > 0 else 1 / len(formats))
+            new = [m / sum(mass) for m in mass]
             done = max(abs(a - b) for a, b in zip(new, weights, strict=True)) < tolerance
             weights = new
             if done:
                 break
         best, sure = [], []
         for formats in sets:
-            total = math.fsum(weights[f] for f in formats)
-            top = max(formats, key=lambda f: (weights[f], -f))
+            total = math.fsum(weights[f] * prior[f] for f in formats)
+            top = max(formats, key=lambda f: (weights[f] * prior[f], -f))
             best.append(FORMATS[top])
-            sure.append(weights[top] / total if total > 0 else 1 / len(formats))
+            sure.append(weights[top] * prior[top] / total if total > 0 else 1 / len(formats))
         return pd.DataFrame({"source": rows["source"], "mask": rows["mask"], "format": best, "posterior": sure})
 
     return masks.groupBy("source").applyInPandas(fit, "source string, mask bigint, format string, posterior double")
@@ -194,37 +202,37 @@ def normalise_timestamps(
     source: str,
     default_zone: str,
     utc_sources: Sequence[str] = ("embedded",),
-    excluded: Sequence[str] = ("mdy",),
+    priors: Mapping[str, float] | None = None,
     certainty: float = 0.95,
 ) -> DataFrame:
     """One UTC instant per value, read in the format that its source most probably writes.
 
     Method: expectation-maximisation over the mixture of formats per source (``source``, in plain form). Each
     value counts for every reading that gives an existing date and time; the posterior of the fitted mixture
-    chooses among them, and a value whose best reading stays under ``certainty`` is marked ``ambiguous`` and
-    gets no instant. ``excluded`` are formats with prior zero (by default month-first numeric dates, so that
-    all-numeric dates which do not begin with the year begin with the day). Digits alone are a count since
-    1970-01-01 UTC if they are 10 (seconds), 13 (milliseconds) or 16 (microseconds).
+    chooses among them. ``priors`` make formats less likely than their share of the source says (see ``DAY_FIRST``).
+    Digits alone are a count since 1970-01-01 UTC if they are 10 (seconds), 13 (milliseconds) or 16 (microseconds).
 
     Zone: an offset, zone name or abbreviation in the value decides; otherwise UTC if the source is one of
-    ``utc_sources``, else the zone named in the column ``default_zone``, else UTC. A local time that occurs
-    twice is the earlier instant; a skipped one is read with the offset valid before the change.
+    ``utc_sources``, else the zone named in the column ``default_zone``, else UTC. A local time that occurs twice has
+    two readings of the zone, each as likely as the other. A skipped one is read with the offset valid before the change.
+
+    The posterior of a value is that of its best format over its readings of the zone. Where it stays under
+    ``certainty`` the value is ``ambiguous``: by its ``format``, when it gets no instant, or by its ``zone``, when the
+    instant is the earlier one, as declared, and ``other_us`` the later one.
 
-    Result: key, utc_us (microseconds, finer digits cut off), format, posterior, status: ``resolved``,
-    ``ambiguous`` or ``unreadable`` (null, blank, no date, no such date, no minute, unknown zone); one row per
-    row of ``values``, repeated rows included; other columns are ignored; an empty table gives an empty result.
+    Result: key, utc_us (microseconds, finer digits cut off), other_us, format, posterior, status: ``resolved``,
+    ``ambiguous`` or ``unreadable`` (null, blank, no date, no such date, no minute, unknown zone; without a format), and
+    ambiguity (``format`` or ``zone``); one row per row of ``values``, repeated rows included; other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = values.sparkSession
-    admitted = [f for f in FORMATS if f not in excluded]
     rows = values.select(
         F.col(f"`{key}`").alias("key"),
         F.col(f"`{value}`").cast("string").alias("value"),
         F.coalesce(plain(F.col(f"`{source}`").cast("string")), F.lit("")).alias("source"),
         trim_blank(F.col(f"`{default_zone}`").cast("string")).alias("site"),
     )
-    read = parse_readings(rows, "value").withColumn(
-        "readings", F.filter("readings", lambda r: r["format"].isin(admitted))
-    )
+    read = parse_readings(rows, "value")
     bits = F.create_map(*[x for i, f in enumerate(FORMATS) for x in (F.lit(f), F.lit(1 << i))])
     read = read.withColumn(
         "zone_lower", F.lower(F.regexp_replace("zone_text", r"^[\[(]|[\])]$", ""))
@@ -232,7 +240,7 @@ def normalise_timestamps(
         "mask", F.coalesce(F.aggregate("readings", F.lit(0), lambda m, r: m + bits[r["format"]]), F.lit(0)).cast("bigint")
     )
     read = _settled(read)
-    chosen = small_side(mixture_posteriors(read.where("mask > 0").groupBy("source", "mask").agg(F.count("*").alias("n"))))
+    chosen = small_side(mixture_posteriors(read.where("mask > 0").groupBy("source", "mask").agg(F.count("*").alias("n")), priors))
 
     zones = _known_zones(spark)
     site_zones = zones.select(F.col("zone_lower").alias("site_lower"), F.col("zone").alias("site_zone"))
@@ -258,18 +266,29 @@ def normalise_timestamps(
         )
     )
     local = F.col("local")
+    to_utc = lambda us: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(us), F.col("in_zone")))
+    from_utc = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), F.col("in_zone")))
+    by_zone = F.col("offset").isNull() & F.col("in_zone").isNotNull()
     instant = (
         F.when(F.col("offset").isNotNull(), local - F.col("offset") * 60_000_000)
-        .when(F.col("in_zone").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col("in_zone"))))
+        .when(F.col("in_zone").isNotNull(), to_utc(local))
         .when(F.col("zone_text") == "", local)
     )
     joined = _settled(joined.withColumn("instant", instant))
     instant = F.col("instant")
-    sure = F.col("posterior") >= certainty
-    return joined.select(
+    # With the offset that is valid a day later, a local time that occurs twice gives its second instant.
+    later = _settled(joined.withColumn("later", F.when(by_zone, local - (from_utc(instant + _DAY) - (instant + _DAY)))))
+    twice = (F.col("later") > instant) & (from_utc(F.col("later")) == local)
+    judged = _settled(later.withColumn("other", F.when(twice, F.col("later"))))
+    read_at_all = F.col("posterior").isNotNull() & instant.isNotNull()
+    sure, one = F.col("posterior") >= certainty, F.col("other").isNull()
+    posterior = F.col("posterior") / F.when(one, 1).otherwise(2)
+    return judged.select(
         F.col("key").alias(key),
         F.when(sure, instant).alias("utc_us"),
-        "format",
-        "posterior",
-        F.when(F.col("posterior").isNull() | instant.isNull(), "unreadable").when(sure, "resolved").otherwise("ambiguous").alias("status"),
+        F.when(sure, F.col("other")).alias("other_us"),
+        F.when(read_at_all, F.col("format")).alias("format"),
+        F.when(read_at_all, posterior).alias("posterior"),
+        F.when(~read_at_all, "unreadable").when(posterior >= certainty, "resolved").otherwise("ambiguous").alias("status"),
+        F.when(read_at_all & ~sure, "format").when(read_at_all & (posterior < certainty), "zone").alias("ambiguity"),
     )

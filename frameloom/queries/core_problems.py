@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameloom.functions.text import plain_key
 from frameloom.operators.intervals import merge_intervals
 from frameloom.operators.references import orphan_references
-from frameloom.operators.timestamps import ABBREVIATIONS, normalise_timestamps
+from frameloom.operators.timestamps import ABBREVIATIONS, DAY_FIRST, SMOOTHING, normalise_timestamps
 from frameloom.sources.tables import read_table
 
 
@@ -62,7 +62,7 @@ def p2_orphans_by_period(spark: SparkSession, folder: str) -> DataFrame:
     return p2_found(spark, folder).groupBy("table_name", "month_utc", "cause").agg(F.count("*").alias("n_rows"))
 
 
-def _capture_times(spark: SparkSession, folder: str, excluded=("mdy",)) -> DataFrame:
+def _capture_times(spark: SparkSession, folder: str, priors=None) -> DataFrame:
     sites = (
         read_table(spark, folder, "camera_sites").groupBy("source_identifier").agg(F.min("site_zone").alias("site_zone"))
     )
@@ -71,25 +71,29 @@ def _capture_times(spark: SparkSession, folder: str, excluded=("mdy",)) -> DataF
     )
     return normalise_timestamps(
         assets.join(sites, "source_identifier", "left"), "id", "capture_time", "capture_time_source", "site_zone",
-        excluded=excluded,
+        priors=priors,
     )
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The UTC instant of every asset whose capture time can be read."""
+    """The UTC instant of every asset whose capture time can be read.
+
+    The problem declares that dates in digits begin with the day or the year: that is the prior of the mixture, and what
+    can only be read with the month first is no case.
+    """
     return (
-        _capture_times(spark, folder)
-        .where(F.col("utc_us").isNotNull())
+        _capture_times(spark, folder, DAY_FIRST)
+        .where(F.col("utc_us").isNotNull() & (F.col("format") != "mdy"))
         .select(F.col("id").alias("source_id"), F.col("utc_us").alias("capture_utc_us"))
         .distinct()
     )
 
 
 def p3_interpretations(spark: SparkSession, folder: str) -> DataFrame:
-    """How the capture times were read, with month-first dates admitted: counts per format and status."""
+    """How the capture times are read if each source's mixture of formats alone decides: assets per format and status."""
     return (
-        _capture_times(spark, folder, excluded=())
-        .groupBy(F.coalesce("format", F.lit("none")).alias("format"), "status")
+        _capture_times(spark, folder)
+        .groupBy(F.coalesce("format", F.lit("none")).alias("format"), "status", "ambiguity")
         .agg(F.countDistinct("id").alias("n_assets"))
     )
 
@@ -180,8 +184,41 @@ SELECT id AS source_id, CASE WHEN minutes IS NOT NULL THEN us - minutes::BIGINT
 UNION SELECT id, v::BIGINT * CASE length(v) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END FROM z WHERE counted
 """
 
+# Each source's mixture in closed form: values with one reading decide, and those with two follow their smoothed proportion.
+_P3_READ = rf"""
+WITH v AS (
+  SELECT id, regexp_replace(capture_time, {_BLANK}, '', 'g') AS v, coalesce(lower(regexp_replace(capture_time_source, {_BLANK}, '', 'g')), '') AS src, site_zone
+  FROM source_assets LEFT JOIN camera_sites USING (source_identifier)
+{_P3[_P3.index('), z AS ('):_P3.index(', l AS (')]}, w AS (
+  SELECT *, hh < 24 AND mi::INT < 60 AND coalesce(nullif(s, '')::INT, 0) < 60 AS timed, regexp_matches(core, {_B}) AND mo !~ '^[A-Z]' AS numeric_ FROM n
+), r AS (
+  SELECT *, timed AND TRY_CAST(printf('%s-%02d-%02d', y, m, d::INT) AS TIMESTAMP) IS NOT NULL AS first_,
+    timed AND numeric_ AND TRY_CAST(printf('%s-%02d-%02d', y, d::INT, m) AS TIMESTAMP) IS NOT NULL AS turned FROM w
+), share AS (
+  SELECT src, count(*) FILTER (first_ AND NOT turned) AS a, count(*) FILTER (turned AND NOT first_) AS b FROM r WHERE numeric_ GROUP BY src
+), c AS (
+  SELECT r.*, CASE WHEN first_ AND turned THEN (greatest(a, b) + {SMOOTHING}) / (a + b + 2 * {SMOOTHING}) ELSE 1.0 END AS posterior,
+    CASE WHEN first_ AND (NOT turned OR a >= b) THEN CASE WHEN numeric_ THEN 'dmy' WHEN mo ~ '^[A-Z]' THEN 'day_month_name' WHEN regexp_matches(core, {_A}) THEN 'ymd' ELSE 'compact' END WHEN turned THEN 'mdy' END AS format
+  FROM r LEFT JOIN share USING (src) WHERE first_ OR turned
+), l AS (
+  SELECT *, epoch_us(CASE WHEN format = 'mdy' THEN printf('%s-%02d-%02d', y, d::INT, m) ELSE printf('%s-%02d-%02d', y, m, d::INT) END::TIMESTAMP) + ((hh * 60 + mi::BIGINT) * 60 + coalesce(nullif(s, '')::BIGINT, 0)) * 1000000 AS us,
+    coalesce(named, CASE WHEN src <> 'embedded' THEN site_zone END, 'UTC') AS zone FROM c
+), t AS (
+  SELECT *, us - {_shift('us - 86400000000')} AS before, us - {_shift('us + 86400000000')} AS later FROM l
+), o AS (
+  SELECT id, format, posterior, minutes IS NULL AND later > before AND before + {_shift('before')} = us AND later + {_shift('later')} = us AS twice FROM t
+  UNION ALL SELECT id, CASE length(v) WHEN 10 THEN 'epoch_s' WHEN 13 THEN 'epoch_ms' ELSE 'epoch_us' END, 1.0, false FROM z WHERE counted
+), every AS (
+  SELECT id, format, CASE WHEN posterior >= 0.95 AND NOT twice THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN posterior < 0.95 THEN 'format' WHEN twice THEN 'zone' END AS ambiguity FROM o
+  UNION ALL SELECT id, 'none', 'unreadable', NULL FROM (SELECT id, capture_time, capture_time_source, source_identifier FROM source_assets
+    WHERE capture_time IS NULL OR (id, regexp_replace(capture_time, {_BLANK}, '', 'g')) NOT IN (SELECT (id, v) FROM c UNION ALL SELECT (id, v) FROM z WHERE counted))
+)
+SELECT format, status, ambiguity, count(DISTINCT id) AS n_assets FROM every GROUP BY ALL
+"""
+
 ORACLES = {
     "p3_found": _P3,
+    "p3_interpretations": _P3_READ,
     "p2_found": _P2 + "SELECT table_name, row_id, month_utc, cause FROM found",
     "p2_orphans_by_period": _P2 + "SELECT table_name, month_utc, cause, count(*) AS n_rows FROM found GROUP BY ALL",
     "p5_found": f"""

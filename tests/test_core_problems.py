@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.operators.intervals import merge_intervals
 from frameloom.operators.references import orphan_references
-from frameloom.operators.timestamps import normalise_timestamps
+from frameloom.operators.timestamps import DAY_FIRST, normalise_timestamps
 
 INTERVALS = "source_id string, start_ms bigint, end_ms bigint, k string, s string"
 
@@ -108,14 +108,15 @@ CASES = [
 def test_timestamp_cases(spark):
     rows = [(i, v, s, z, "extra") for i, (v, s, z, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "id int, v string, src string, zone string, source string")
-    got = {r["id"]: r for r in normalise_timestamps(df, "id", "v", "src", "zone").collect()}
+    got = {r["id"]: r for r in normalise_timestamps(df, "id", "v", "src", "zone", priors=DAY_FIRST).collect()}
     epoch = dt.datetime(1970, 1, 1)
     for i, (value, _, _, want) in enumerate(CASES):
         us = got[i]["utc_us"]
         assert (us is None) == (want is None), (value, us)
         if want:
             assert epoch + dt.timedelta(microseconds=us) == dt.datetime.fromisoformat(want), value
-        assert got[i]["status"] == ("resolved" if want else "unreadable"), value
+        twice = got[i]["ambiguity"] == "zone"
+        assert got[i]["status"] == ("ambiguous" if twice else "resolved" if want else "unreadable"), value
 
 
 def test_every_day_of_many_years(spark):
@@ -132,10 +133,36 @@ def test_every_day_of_many_years(spark):
 def test_mixture_decides_between_day_first_and_month_first(spark):
     rows = [("a", f"2025 {d}") for d in ()] + [("us", "03/25/2025 10:00"), ("us", "12/31/2024 10:00"), ("us", "01/02/2025 10:00"), ("eu", "25/03/2025 10:00"), ("eu", "01/02/2025 10:00"), ("none", "01/02/2025 10:00")]
     df = spark.createDataFrame([(i, v, s, None) for i, (s, v) in enumerate(rows)], "id int, v string, src string, zone string")
-    got = {r["id"]: r for r in normalise_timestamps(df, "id", "v", "src", "zone", excluded=()).collect()}
+    got = {r["id"]: r for r in normalise_timestamps(df, "id", "v", "src", "zone").collect()}
     assert got[2]["format"] == "mdy" and got[2]["status"] == "resolved"
     assert got[4]["format"] == "dmy" and got[4]["status"] == "resolved"
-    assert got[5]["status"] == "ambiguous" and got[5]["utc_us"] is None and abs(got[5]["posterior"] - 0.5) < 1e-9
+    assert got[5]["status"] == "ambiguous" and got[5]["utc_us"] is None and abs(got[5]["posterior"] - 0.5) < 1e-9 and got[5]["ambiguity"] == "format"
+    declared = {r["id"]: r for r in normalise_timestamps(df, "id", "v", "src", "zone", priors=DAY_FIRST).collect()}
+    assert declared[2]["format"] == declared[5]["format"] == "dmy" and declared[5]["status"] == "resolved"
+
+
+def test_sources_that_write_both_ways_stay_ambiguous(spark):
+    rows = [("03/25/2025 10:00",)] * 3 + [("25/03/2025 10:00",)] * 2 + [("01/02/2025 10:00",)] * 4
+    df = spark.createDataFrame(rows, "v string").selectExpr("v", "'both' as src", "cast(null as string) as zone", "monotonically_increasing_id() as id")
+    got = [r for r in normalise_timestamps(df, "id", "v", "src", "zone").collect() if r["status"] == "ambiguous"]
+    assert len(got) == 4 and {r["format"] for r in got} == {"mdy"} and all(abs(r["posterior"] - 3.01 / 5.02) < 1e-6 for r in got)
+
+
+def test_local_times_that_occur_twice_are_told(spark):
+    zones = {"Europe/Berlin": "2025-10-26 02:30:00", "America/New_York": "2024-11-03 01:15:00", "Australia/Lord_Howe": "2025-04-06 01:45:00"}
+    df = spark.createDataFrame([(z, v, "exif") for z, v in zones.items()] + [("Asia/Tokyo", "2025-10-26 02:30:00", "exif")], "zone string, v string, src string")
+    got = {r["zone"]: r for r in normalise_timestamps(df.withColumn("k", F.col("zone")), "zone", "v", "src", "k").collect()}
+    assert [got[z]["status"] for z in zones] == ["ambiguous"] * 3 and got["Asia/Tokyo"]["status"] == "resolved"
+    assert [got[z]["other_us"] - got[z]["utc_us"] for z in zones] == [3_600_000_000, 3_600_000_000, 1_800_000_000]
+    assert all(abs(got[z]["posterior"] - 0.5) < 1e-9 and got[z]["ambiguity"] == "zone" for z in zones)
+
+
+def test_offsets_of_one_digit(spark):
+    rows = [("2025-01-01 10:00:00 UTC+2", 8 * 60), ("2025-01-01 10:00:00 GMT-3", 13 * 60), ("2025-01-01 10:00:00 +5:30", 4 * 60 + 30), ("2025-01-01 10:00:00 +0530", 4 * 60 + 30), ("2025-01-01 10:00:00+02", 8 * 60)]
+    df = spark.createDataFrame([(i, v, "x", "Asia/Tokyo") for i, (v, _) in enumerate(rows)], "id int, v string, src string, zone string")
+    got = {r["id"]: r["utc_us"] for r in normalise_timestamps(df, "id", "v", "src", "zone").collect()}
+    day = (dt.date(2025, 1, 1) - dt.date(1970, 1, 1)).days * 86_400_000_000
+    assert [got[i] for i in range(len(rows))] == [day + m * 60_000_000 for _, m in rows]
 
 
 def test_timestamps_of_an_empty_table(spark):
