@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.session import ship_package, small_side
+
 #: Cells of the histogram of the hash-seeded uniform numbers, by which the rate of each source is calibrated.
 CELLS = 4096
 
@@ -103,8 +105,8 @@ def mix_sources(sizes: DataFrame, plans: DataFrame, targets: DataFrame, key: str
     Method: Poisson replication. Each document has a uniform number from a hash of seed, mix and key; the number of
     its copies is the inverse of the Poisson distribution at it, cut at ``max_repeats``. The rate of a source starts
     from its target repetition rate (target tokens / tokens it has) and is calibrated for the cut and for the draws:
-    one pass gathers a histogram of the numbers by tokens, at most CELLS rows per target, from which the driver
-    finds the rate. A source that can't reach its target even with all documents ``max_repeats`` times gives all of
+    one pass gathers a histogram of the numbers by tokens, at most CELLS rows per target, from which a task for each
+    target finds the rate. A source that can't reach its target even with all documents ``max_repeats`` times gives all of
     them; what it lacks is reported and not filled up by other sources.
 
     Result: (chosen, shares). chosen: mix_name, key, source, tokens, repeats (>= 1), one row per chosen document.
@@ -115,24 +117,31 @@ def mix_sources(sizes: DataFrame, plans: DataFrame, targets: DataFrame, key: str
     smaller max_repeats holds. Empty tables give empty results. The same seed gives the same mix, in any order.
     """
     spark = sizes.sparkSession
+    ship_package(spark)
     sizes = sizes.select(F.col(key).alias("key"), "source", "tokens")
     plan = _read_plan(sizes, plans, targets)
     pairs = spark.createDataFrame([(t.mix_name, t.source) for t in plan], "mix_name string, source string")
     u = _uniform(seed, F.col("mix_name"), F.col("key"))
     drawn = sizes.where("tokens > 0 and source is not null").join(F.broadcast(pairs), "source").withColumn("u", u)
 
-    cells: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
+    wanted = spark.createDataFrame(
+        [(t.mix_name, t.source, t.target_share, t.max_repeats, t.budget, t.available) for t in plan if t.available and t.tokens > 0],
+        "mix_name string, source string, share double, repeats int, budget double, available bigint",
+    )
     cell = F.floor(F.col("u") * CELLS).cast("int").alias("cell")
-    for r in drawn.groupBy("mix_name", "source", cell).agg(F.sum("tokens").alias("n")).collect():
-        cells[r["mix_name"], r["source"]][r["cell"]] = r["n"]
-    steps = []
-    for t in plan:
-        if t.available and t.tokens > 0:
-            steps_of = [-1.0] * t.max_repeats if t.exhausted else poisson_cdf(calibrated_rate(t, cells[t.mix_name, t.source]), t.max_repeats)
-            steps.append((t.mix_name, t.source, steps_of))
-    inverse = spark.createDataFrame(steps, "mix_name string, source string, steps array<double>")
+    cells = drawn.groupBy("mix_name", "source", cell).agg(F.sum("tokens").alias("n")).join(F.broadcast(wanted), ["mix_name", "source"])
+
+    def calibrate(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.iloc[0]
+        t = Target(r.mix_name, r.source, float(r.share), int(r.repeats), float(r.budget), int(r.available))
+        # All documents of an exhausted source come as often as they may: the limit of ever higher rates.
+        steps = [-1.0] * t.max_repeats if t.exhausted else poisson_cdf(calibrated_rate(t, dict(zip(rows.cell, rows.n, strict=True))), t.max_repeats)
+        return pd.DataFrame({"mix_name": [t.mix_name], "source": [t.source], "steps": [steps]})
+
+    # Each target's histogram has at most CELLS rows; the fitted steps are as few as the targets.
+    inverse = small_side(cells.groupBy("mix_name", "source").applyInPandas(calibrate, "mix_name string, source string, steps array<double>"), PLAN_ROWS)
     chosen = (
-        drawn.join(F.broadcast(inverse), ["mix_name", "source"])
+        drawn.join(inverse, ["mix_name", "source"])
         .withColumn("repeats", F.size(F.filter("steps", lambda p: F.col("u") > p)))
         .where("repeats > 0")
         .select("mix_name", F.col("key").alias(key), "source", "tokens", "repeats")
