@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from frameloom.session import ship_package
 
 
-def replay(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], list[tuple]], schema: str) -> DataFrame:
+def replay(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], start: Callable[[], Any], step: Callable[[Any, tuple], list[tuple]], schema: str, finish: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
     """What a fold says on the way: ``step`` takes the state of a key and the values of its next row, changes the state
-    and returns the rows to put out, which come after the keys in ``schema``.
+    and returns the rows to put out, which come after the keys in ``schema``; ``finish`` returns those at its end.
 
     The rows of a key are sorted with spilling and stream through one task; what is held is the state alone, never a
     key's rows. Rows with a null key are left out; rows equal in the whole order stand in any order.
@@ -30,9 +31,13 @@ def replay(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
             for row in zip(*(batch[c].tolist() for c in range(len(names))), strict=True):
                 key = row[:width]
                 if key != current:
+                    if finish and current is not None:
+                        out += [current + made for made in finish(state)]
                     current, state = key, start()
                 out += [key + made for made in step(state, row[width:])]
             yield pd.DataFrame(out, columns=range(len(titles)))
+        if finish and current is not None:
+            yield pd.DataFrame([current + made for made in finish(state)], columns=range(len(titles)))
 
     titles = [c.split()[0] for c in schema.split(", ")]
     known = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
@@ -45,6 +50,31 @@ def replay(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
     return ordered.mapInPandas(renamed, schema)
 
 
+def group_digests(members: DataFrame, group: str, key: str, prefix: str = "similarity-v1") -> DataFrame:
+    """(group, group_id, n_members, first_key, last_key): the id of each group is the digest of its members' keys in order.
+
+    Keys stream through a digest, sorted with spilling; no group is gathered. Repeated members count once.
+    """
+
+    def start() -> dict:
+        return {"digest": hashlib.sha256(prefix.encode()), "n": 0, "first": None, "last": None}
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        if row[0] != state["last"]:
+            state["digest"].update(row[0].encode())
+            state["n"] += 1
+            state["first"] = row[0] if state["first"] is None else state["first"]
+            state["last"] = row[0]
+        return []
+
+    def finish(state: dict) -> list[tuple]:
+        return [("sim-" + state["digest"].hexdigest()[:12], state["n"], state["first"], state["last"])]
+
+    kind = members.schema[group].dataType.simpleString()
+    schema = f"{group} {kind}, group_id string, n_members int, first_key string, last_key string"
+    return replay(members.where(F.col(key).isNotNull()), [group], [key], [key], start, step, schema, finish)
+
+
 #: What an action makes of a decision and a lock; an action that isn't here leaves both.
 ACTIONS: dict[str, Callable[[str | None, bool], tuple[str | None, bool]]] = {
     "keep": lambda decision, locked: ("keep", locked),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.hashing import group_id, hamming
+from frameloom.functions.hashing import hamming
+from frameloom.operators.replay import group_digests
 
 #: How far two assets may be apart to be compared.
 SCOPES = ("source", "source_group", "project")
@@ -70,16 +71,22 @@ def near_pairs(assets: DataFrame, scope: str = "source", window_ms: int = 30_000
     return found.select(F.least("a.asset_key", "b.asset_key").alias("a"), F.greatest("a.asset_key", "b.asset_key").alias("b")).distinct()
 
 
-def ssim(a: Column, b: Column) -> Column:
-    """Structural similarity of two pixel arrays of the same size over one window (sample variances)."""
+def ssim_sums(pixels: Column) -> Column:
+    """What structural similarity needs of one pixel array: (sum, sum of squares), made once for each."""
+    both = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q"))
+    return F.aggregate(pixels, both, lambda t, v: F.struct((t["s"] + v).alias("s"), (t["q"] + v.cast("bigint") * v).alias("q")))
+
+
+def ssim(a: Column, b: Column, sums_a: Column, sums_b: Column) -> Column:
+    """Structural similarity of two pixel arrays of the same size over one window (sample variances), from the sums of
+    each; only their products are made for the pair."""
     n = F.size(a).cast("double")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: (p * q).cast("double")))
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    ma, mb = total(F.transform(a, lambda v: v.cast("double"))) / n, total(F.transform(b, lambda v: v.cast("double"))) / n
-    var = lambda x, m: (product(x, x) - n * m * m) / (n - 1)
-    cov = (product(a, b) - n * ma * mb) / (n - 1)
-    return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (var(a, ma) + var(b, mb) + c2))
+    products = F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("bigint") * q), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    ma, mb = sums_a["s"] / n, sums_b["s"] / n
+    var = lambda t, m: (t["q"] - n * m * m) / (n - 1)
+    cov = (products - n * ma * mb) / (n - 1)
+    return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (var(sums_a, ma) + var(sums_b, mb) + c2))
 
 
 def group_members(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,13 +98,9 @@ def group_members(members: DataFrame, edges: DataFrame) -> DataFrame:
     """
     best = F.struct(F.when(F.col("locked"), 0).otherwise(1).alias("o"), (-F.col("quality")).alias("q"), F.coalesce("offset_ms", F.lit(-1)).alias("t"), "asset_key")
     groups = (
-        members.groupBy("root")
-        .agg(
-            F.sort_array(F.collect_list("asset_key")).alias("keys"), F.count("*").alias("n_members"), F.min(best).alias("best"),
-            (F.count_if("locked") > 1).alias("locked_conflict"),
-        )
-        .where("n_members > 1")
-        .select("root", group_id(F.col("keys")).alias("group_id"), "n_members", F.col("best.asset_key").alias("chosen"), "locked_conflict")
+        members.groupBy("root").agg(F.count("*").alias("n_members"), F.min(best).alias("best"), (F.count_if("locked") > 1).alias("locked_conflict"))
+        .where("n_members > 1").select("root", "n_members", F.col("best.asset_key").alias("chosen"), "locked_conflict")
+        .join(group_digests(members, "root", "asset_key").select("root", "group_id"), "root")
     )
     scores = edges.select(F.col("a").alias("asset_key"), "score").unionByName(edges.select(F.col("b").alias("asset_key"), "score")).groupBy("asset_key").agg(F.max("score").alias("score"))
     return (

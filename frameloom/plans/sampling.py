@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.measures import rate_parts
+from frameloom.operators.replay import replay
 
 #: A plan of one source with more points than this is refused with an error, where it is to be one array.
 LARGEST_PLAN = 100_000
@@ -128,17 +129,21 @@ def change_selection(points: DataFrame, entity: str, time: str, score: str, thre
     """The times at which frames are taken from a change curve, per entity.
 
     The first point is taken; a later one if ``most`` milliseconds have passed since the last taken, or if its score
-    reaches the threshold and ``least`` have passed. The state runs along the curve, so each entity's curve is folded
-    as one array of its points: an entity is one video, whose curve has at most one point for each of its frames.
+    reaches the threshold and ``least`` have passed. The state, the time last taken, runs along the sorted curve, which
+    streams through one task for each entity. Points without an entity or a time are left out; one without a score
+    is taken by time alone; points of one time stand in ascending order of score.
     """
     if not 0 <= threshold <= 1 or least <= 0 or most < least:
         raise ValueError("threshold in [0, 1] and 0 < least <= most")
-    curve = points.select(F.col(entity).alias("k"), F.struct(F.col(time).cast("bigint").alias("t"), F.col(score).cast("double").alias("s")).alias("p"))
-    folded = curve.where("k is not null and p.t is not null").groupBy("k").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    start = F.expr("cast(array() as array<bigint>)")
-    since = lambda taken, p: p["t"] - F.try_element_at(taken, F.lit(-1))
-    step = lambda taken, p: F.when(
-        (F.size(taken) == 0) | (since(taken, p) >= most) | ((p["s"] >= threshold) & (since(taken, p) >= least)),
-        F.concat(taken, F.array(p["t"])),
-    ).otherwise(taken)
-    return folded.select(F.col("k").alias(entity), F.explode(F.aggregate("ps", start, step)).alias(time))
+    curve = points.select(F.col(entity).alias(entity), F.col(time).cast("bigint").alias("t"), F.col(score).cast("double").alias("s")).where("t is not null")
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        t, s = row
+        last = state.get("last")
+        if last is None or t - last >= most or (s >= threshold and t - last >= least):
+            state["last"] = t
+            return [(t,)]
+        return []
+
+    kind = curve.schema[entity].dataType.simpleString()
+    return replay(curve, [entity], ["t", "s"], ["t", "s"], dict, step, f"{entity} {kind}, {time} bigint")

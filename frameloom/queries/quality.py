@@ -125,7 +125,7 @@ def frame_change_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def augmented(spark: SparkSession, folder: str) -> DataFrame:
     """The mean level of every raster after a brightness offset that its id decides."""
-    offset = F.pmod(F.xxhash64("vec_id"), F.lit(41)) - 20
+    offset = F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 41 - 20
     brighter = F.transform("px", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), v + F.col("offset").cast("int"))))
     return pixels(spark, folder).withColumn("offset", offset).select("vec_id", "offset", F.round(_mean(brighter), 6).alias("mean_level"))
 
@@ -161,6 +161,8 @@ ORACLES = {
         sh AS (SELECT vec_id, var_pop(d) AS sharpness FROM l GROUP BY vec_id)
         SELECT vec_id, underexposed_ratio::DOUBLE AS underexposed_ratio, overexposed_ratio::DOUBLE AS overexposed_ratio, round(entropy, 6) AS entropy, round(deviation, 4) AS deviation,
           round(1 - (0.7 * least(1.0, entropy / 8) + 0.3 * least(1.0, deviation / 64)), 6) AS low_information, round(sharpness + 1e-7, 3) AS sharpness FROM m JOIN e USING (vec_id) JOIN sh USING (vec_id)""",
+    "augmented": f"""WITH {_PX}, o AS (SELECT vec_id, v, ('0x' || left(md5(vec_id::VARCHAR), 8))::BIGINT % 41 - 20 AS o FROM p)
+        SELECT vec_id, o AS "offset", round(avg(least(255, greatest(0, v + o))), 6) AS mean_level FROM o GROUP BY ALL""",
     "frame_change_score": f"""WITH {_PX}, o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM px),
         q AS (SELECT o.label, o.frame, p.k, p.v FROM p JOIN o USING (vec_id)) SELECT a.label, a.frame, round(coalesce(avg(abs(a.v - b.v)) / 255, 0), 6) AS score
         FROM q a LEFT JOIN q b ON b.label = a.label AND b.frame = a.frame - 1 AND b.k = a.k GROUP BY ALL""",

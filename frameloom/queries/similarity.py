@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.functions.hashing import group_id, hamming, hex16
+from frameloom.functions.hashing import hamming, hex16
 from frameloom.operators.components import connected_components
-from frameloom.operators.similarity import exact_edges, group_members, near_pairs, ssim
+from frameloom.operators.replay import group_digests
+from frameloom.operators.similarity import exact_edges, group_members, near_pairs, ssim, ssim_sums
 from frameloom.queries import quality, views
 from frameloom.session import cut
 from frameloom.sources.tables import read_table
@@ -27,8 +28,9 @@ def review_assets(spark: SparkSession, folder: str) -> DataFrame:
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The groups of assets with the same digest: id, size, first and last member."""
     rows = review_assets(spark, folder).where("digest is not null and digest <> ''")
-    grouped = rows.groupBy("digest").agg(F.sort_array(F.collect_set("asset_key")).alias("keys")).where(F.size("keys") > 1)
-    return grouped.select(group_id(F.col("keys")).alias("group_id"), F.size("keys").alias("n_members"), F.col("keys")[0].alias("first_key"), F.element_at("keys", -1).alias("last_key"))
+    # Digests that one asset has make no group, and needn't be sorted.
+    several = rows.groupBy("digest").agg((F.min("asset_key") < F.max("asset_key")).alias("several")).where("several")
+    return group_digests(rows.join(several, "digest", "left_semi"), "digest", "asset_key").select("group_id", "n_members", "first_key", "last_key")
 
 
 def _near(scope: str):
@@ -76,12 +78,12 @@ def raster_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 def raster_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rasters of one label with near hashes, and their structural similarity."""
-    rows = _hashed(spark, folder)
+    rows = cut(_hashed(spark, folder))
     assets = rows.select(F.format_string("%012d", "id").alias("asset_key"), F.lit("x").alias("source_id"), F.col("label").cast("string").alias("source_group"), F.lit(None).cast("bigint").alias("offset_ms"), F.lit(None).cast("string").alias("digest"), "hash")
     pairs = near_pairs(assets, scope="source_group").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    px = rows.select("id", "px")
-    both = pairs.join(px.toDF("a", "pa"), "a").join(px.toDF("b", "pb"), "b")
-    return both.select("a", "b", F.round(ssim(F.col("pa"), F.col("pb")), 5).alias("ssim"))
+    px = rows.select("id", "px", ssim_sums(F.col("px")).alias("sums"))
+    both = pairs.join(px.toDF("a", "pa", "ta"), "a").join(px.toDF("b", "pb", "tb"), "b")
+    return both.select("a", "b", F.round(ssim(F.col("pa"), F.col("pb"), F.col("ta"), F.col("tb")), 5).alias("ssim"))
 
 
 def near_raster_pairs(spark: SparkSession, folder: str) -> DataFrame:
