@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.hashing import hamming
 from frameloom.operators.replay import group_digests
+from frameloom.session import cut, release
 
 #: How far two assets may be apart to be compared.
 SCOPES = ("source", "source_group", "project")
@@ -23,39 +24,68 @@ def exact_edges(assets: DataFrame) -> DataFrame:
     return known.join(first, "digest").where("asset_key > a").select("a", F.col("asset_key").alias("b"), F.lit(1.0).alias("score"))
 
 
-def _meeting_keys(column: str, distance: int, wide: bool) -> Column:
-    """Keys of a 63-bit hash of which two hashes within the distance share at least one.
+#: A block value that more hashes of a scope share has its lists split by a second level of keys.
+CROWDED = 2000
 
-    Narrow: the values of distance + 1 bands, one of which is untouched by so many differences; few keys, for small
-    scopes. Wide: of distance // 3 + 1 blocks one has at most two differences, so its values with at most one bit
-    turned meet; more keys, but each is shared by few hashes of a large scope.
-    """
-    parts = min(distance // 3 + 1 if wide else distance + 1, 63)
-    edges = [63 * i // parts for i in range(parts + 1)]
+
+def _spans(bits: int, parts: int) -> list[tuple[int, int]]:
+    """(first bit, width) of so many blocks of about equal width."""
+    edges = [bits * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _block_keys(value: Column, spans: list[tuple[int, int]], turned: bool) -> Column:
+    """(part, bits) of every block of bits, and with ``turned`` also with each one bit turned."""
     keys = []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        value = F.shiftright(column, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint"))
-        for turned in [0, *(1 << j for j in range(hi - lo) if wide)]:
-            keys.append(F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(turned).cast("bigint")).alias("bits")))
+    for i, (first, width) in enumerate(spans):
+        block = F.shiftright(value, first).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        for flip in [0, *(1 << j for j in range(width) if turned)]:
+            keys.append(F.struct(F.lit(i).alias("part"), block.bitwiseXOR(F.lit(flip).cast("bigint")).alias("bits")))
     return F.array(*keys)
 
 
-def near_pairs(assets: DataFrame, scope: str = "source", window_ms: int = 30_000, distance: int = 8) -> DataFrame:
+def _second_keys(value: Column, spans: list[tuple[int, int]], bits: int) -> Column:
+    """Keys of the bits outside the block that ``key`` is of: these may hold all differences, so they are cut into as many
+    blocks again; two hashes within the distance that share the first key share one of these too."""
+    out = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("bits")))
+    for i, (first, width) in enumerate(spans):
+        rest = value.bitwiseAND(F.lit((1 << first) - 1).cast("bigint")).bitwiseOR(F.shiftleft(F.shiftright(value, first + width), first))
+        out = F.when(F.col("hot") & (F.col("key.part") == i), _block_keys(rest, _spans(bits - width, len(spans)), True)).otherwise(out)
+    return out
+
+
+def near_pairs(assets: DataFrame, scope: str = "source", window_ms: int = 30_000, distance: int = 8, crowded: int = CROWDED) -> DataFrame:
     """(a, b): pairs of assets in one scope with different digests whose hashes are near.
 
     ``assets`` has asset_key, source_id, source_group, offset_ms, digest and hash. Two assets of the same source with
     offsets count only if these are at most ``window_ms`` apart. Candidates come from equi-joins on parts of the hash
-    that near hashes share without fail; in the scope ``source`` the time bucket is part of the key.
+    that near hashes share without fail. In the scope ``source`` these are distance + 1 bands, one of which is untouched
+    by so many differences, with the time bucket: few keys, for small scopes. Otherwise, of distance // 3 + 1 blocks one
+    has at most two differences, so its values with at most one bit turned meet: more keys, but each is shared by few.
+    Values that more than ``crowded`` hashes of a scope share are split by keys of the other bits, without loss.
     """
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
     part = {"source": F.col("source_id"), "source_group": F.col("source_group"), "project": F.lit("")}[scope]
-    keys = _meeting_keys("hash", distance, wide=scope != "source")
-    rows = assets.where("hash is not null and asset_key is not null").select("asset_key", "source_id", "offset_ms", "digest", "hash", part.alias("part"))
     timed = scope == "source"
+    spans = _spans(63, min(distance + 1 if timed else distance // 3 + 1, 63))
+    rows = assets.where("hash is not null and asset_key is not null").select("asset_key", "source_id", "offset_ms", "digest", "hash", part.alias("part"))
     bucket = F.floor(F.col("offset_ms") / max(window_ms, 1)) if timed else F.lit(None).cast("bigint")
     rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(-1)))
-    left = rows.withColumn("key", F.explode(keys))
+    left = rows.withColumn("key", F.explode(_block_keys(F.col("hash"), spans, turned=not timed)))
+    if not timed:
+        values = rows.select("part", F.explode(_block_keys(F.col("hash"), spans, turned=False)).alias("key")).groupBy("part", "key").count()
+        full = cut(values.where(F.col("count") > crowded).select("part", "key"))
+        if full.limit(1).count():
+            widest = max(width for _, width in spans)
+            flips = F.array(*[F.lit(f).cast("bigint") for f in [0, *(1 << j for j in range(widest))]])
+            near = F.transform(flips, lambda f: F.struct(F.col("key.part").alias("part"), F.col("key.bits").bitwiseXOR(f).alias("bits")))
+            hot = full.select("part", F.explode(near).alias("key")).distinct().withColumn("hot", F.lit(True))
+            left = left.join(hot, ["part", "key"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+            left = left.withColumn("second", F.explode(_second_keys(F.col("hash"), spans, 63))).drop("hot")
+            left = left.withColumn("key", F.struct("key", "second")).drop("second")
+        else:
+            release(full)
     # An asset is met in its own time bucket, in the next one, and in bucket -1, where those without an offset look.
     ahead = F.when(F.col("bucket") < 0, F.array("bucket")).otherwise(F.array("bucket", F.col("bucket") + 1, F.lit(-1).cast("bigint"))) if timed else F.array("bucket")
     right = left.withColumn("bucket", F.explode(ahead))

@@ -96,21 +96,35 @@ def frame_time(rate: Column, i: Column, every: int) -> Column:
     return _div(i * every * den * 1000 + _div(num, 2), num)
 
 
-def snap_to_frames(times: DataFrame, frames: DataFrame, entity: str, time: str, frame: str) -> DataFrame:
+#: A stretch of an entity's times within which they are sorted together.
+STRETCH = 600_000
+
+
+def snap_to_frames(times: DataFrame, frames: DataFrame, entity: str, time: str, frame: str, stretch: int = STRETCH) -> DataFrame:
     """Add ``snapped``: the nearest frame time of the entity, the earlier of two equally near; null without frames.
 
-    An as-of join in both directions over one sorted union per entity; the frames are never collected.
-    Columns of ``times`` are kept; rows without an entity or a time keep a null.
+    An as-of join in both directions over sorted unions of the stretches of an entity; what lies nearest outside a
+    stretch comes from the extremes of the others, of which there is one row each. No entity is sorted whole, and the
+    frames are never collected. Columns of ``times`` are kept; rows without an entity or a time keep a null.
     """
     names = times.columns
+    cell = F.floor(F.col("t") / stretch)
     left = times.select(F.struct(*names).alias("row"), F.col(entity).alias("k"), F.col(time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("f"))
     right = frames.select(F.col(entity).alias("k"), F.col(frame).alias("t")).dropna().distinct()
+    # The last frame before each stretch that has times or frames, and the first one after it.
+    ends = right.groupBy("k", cell.alias("c")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    asked = left.select("k", cell.alias("c")).dropna().distinct().unionByName(ends.select("k", "c")).distinct().join(ends, ["k", "c"], "left")
+    order = Window.partitionBy("k").orderBy("c")
+    around = asked.select("k", "c", F.last("hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("last_before"), F.first("lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("first_after"))
     right = right.select(F.lit(None).cast(left.schema["row"].dataType).alias("row"), "k", "t", F.lit(0).alias("side"), F.col("t").alias("f"))
-    before = Window.partitionBy("k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("k").orderBy(F.desc("t"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("down", F.last("f", ignorenulls=True).over(before)).withColumn("up", F.last("f", ignorenulls=True).over(after))
-    near = F.when(F.col("k").isNull() | F.col("t").isNull(), None).when(F.col("up").isNull() | (F.col("t") - F.col("down") <= F.col("up") - F.col("t")), F.col("down")).otherwise(F.col("up"))
-    return both.where("side = 1").select("row.*", near.alias("snapped"))
+    both = left.unionByName(right).withColumn("c", cell)
+    before = Window.partitionBy("k", "c").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("k", "c").orderBy(F.desc("t"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("down", F.last("f", ignorenulls=True).over(before)).withColumn("up", F.last("f", ignorenulls=True).over(after))
+    joined = both.where("side = 1").join(around, ["k", "c"], "left")
+    down, up = F.coalesce("down", "last_before"), F.coalesce("up", "first_after")
+    near = F.when(F.col("k").isNull() | F.col("t").isNull(), None).when(up.isNull() | (F.col("t") - down <= up - F.col("t")), down).otherwise(up)
+    return joined.select("row.*", near.alias("snapped"))
 
 
 def nearest_within(planned: DataFrame, existing: DataFrame, entity: str, time: str, tolerance: int = 1) -> DataFrame:
