@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.hashing import quick_fingerprint
 from frameloom.functions.text import plain_key
 from frameloom.operators import store
-from frameloom.queries import sampling, tiles, views
+from frameloom.queries import quality, sampling, tiles, views
 from frameloom.sources.probe import frame_times, video_facts
 from frameloom.sources.tables import read_table
 from frameloom.streaming import events
@@ -111,6 +112,36 @@ def stream_change_selection(spark: SparkSession, folder: str) -> DataFrame:
     return events.run_to_table(chosen, "append").select("source", "t_ms")
 
 
+def stream_frame_change(spark: SparkSession, folder: str) -> DataFrame:
+    """The difference of every raster from the one before it, by a stream that keeps the last raster of every series."""
+    stream = events.read_stream(spark, f"{folder}/embeddings.parquet")
+    level = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.lit(128.0) + F.lit(255.0) * e.cast("double")).cast("int")))
+    frames = stream.where(F.size("embedding") == 64).select("label", "vec_id", F.transform("embedding", level).alias("px"))
+    scored = events.run_to_table(events.frame_changes(frames, "label", "vec_id", "px"), "append")
+    return scored.select("label", "frame", F.round("score", 6).alias("score"))
+
+
+def stream_import(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue as an import in batches of 64 files leaves it: every batch is folded into what came before."""
+    stream = events.read_stream(spark, f"{folder}/source_assets.parquet").select("id", "status", "last_checked_at", "imported_at")
+    rows = events.run_to_table(stream, "append").drop("batch").distinct()
+    return store.fold_versions(rows, ["id"], ["last_checked_at", "imported_at", "status"], first=["imported_at"])
+
+
+def text_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of the whole content and the quick fingerprint of size and edges, of texts as files."""
+    content = F.encode("text", "utf-8")
+    rows = read_table(spark, folder, "documents").where("text is not null")
+    return rows.select("doc_id", F.sha2(content, 256).alias("sha256"), quick_fingerprint(content).alias("quick_fingerprint"))
+
+
+def event_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The last page of 50 events by id."""
+    rows = read_table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    last = rows.agg(F.count("*").alias("n")).first()["n"]
+    return rows.orderBy("event_id").offset(max(last - 50, 0)).limit(50)
+
+
 def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of events of one user with pauses under six hours."""
     rows = read_table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -118,7 +149,7 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.select("user_id", F.unix_micros("w.start").alias("start_us"), "n_events")
 
 
-QUERIES = {f.__name__: f for f in (candidate_upsert, source_upsert, roi_upsert, cascade_counts, cascade_kept_selections, review_state, progress, probe_documents, frame_timelines, stream_event_windows, stream_change_selection, event_sessions)}
+QUERIES = {f.__name__: f for f in (candidate_upsert, source_upsert, roi_upsert, cascade_counts, cascade_kept_selections, review_state, progress, probe_documents, frame_timelines, stream_event_windows, stream_change_selection, stream_frame_change, stream_import, text_fingerprints, event_page, event_sessions)}
 
 _GONE = "gone AS (SELECT DISTINCT " + views.PLAIN + " AS k FROM source_removals)"
 _KEY = views.PLAIN
@@ -147,6 +178,11 @@ ORACLES = {
     "frame_timelines": f"WITH {views.CANDIDATES} SELECT source, count(DISTINCT video_offset_ms)::INT AS n_frames, min(video_offset_ms) AS first_ms, max(video_offset_ms) AS last_ms FROM candidates GROUP BY source",
     "stream_event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL",
     "stream_change_selection": sampling.ORACLES["change_triggered"],
+    "stream_frame_change": quality.ORACLES["frame_change_score"],
+    "stream_import": """SELECT id, arg_max(status, (last_checked_at, imported_at, status)) AS status, max(last_checked_at) AS last_checked_at, arg_min(imported_at, (last_checked_at, imported_at, status)) AS imported_at FROM source_assets GROUP BY id""",
+    "text_fingerprints": f"""SELECT doc_id, sha256(b) AS sha256, sha256(unhex({' || '.join(f"printf('%02x', (octet_length(b) >> {8 * i}) & 255)" for i in range(8))}) || unhex(left(hex(b), 131072)) || CASE WHEN octet_length(b) > 65536 THEN unhex(right(hex(b), 131072)) ELSE ''::BLOB END) AS quick_fingerprint
+        FROM (SELECT doc_id, encode(text) AS b FROM documents WHERE text IS NOT NULL)""",
+    "event_page": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50",
     "event_sessions": """SELECT user_id, min(us) AS start_us, count(*) AS n_events FROM (SELECT user_id, us, sum(CASE WHEN us - before < 21600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s
         FROM (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s""",
 }

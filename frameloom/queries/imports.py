@@ -48,6 +48,13 @@ def source_status_written(spark: SparkSession, folder: str) -> DataFrame:
     return store.update_by_key(rows.select("id", "kind", "status"), changes, ["id"], ["status"])
 
 
+def source_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """The refreshed row of one asset (here the smallest id): the scan is asked for its path alone."""
+    known = views.assets(spark, folder).select("id", "kind", "absolute_path", "size_bytes", "modified_unix_ms", "quick_fingerprint", "status", "error")
+    one = known.join(F.broadcast(known.agg(F.min("id").alias("id"))), "id", "left_semi")
+    return imports.rescan_status(one, _scan(spark, folder)).select("id", "absolute_path", F.col("new_status").alias("status"), F.col("new_error").alias("error"))
+
+
 def import_actions(spark: SparkSession, folder: str) -> DataFrame:
     """What an import makes of every file of a scan."""
     known = _rescanned(spark, folder).withColumn("online", F.col("new_status") == "online")
@@ -84,7 +91,7 @@ def source_relink(spark: SparkSession, folder: str) -> DataFrame:
     return imports.relink(views.assets(spark, folder), wishes)
 
 
-QUERIES = {f.__name__: f for f in (source_rescan, source_rescan_counts, source_status_written, import_actions, import_counts, import_again, source_relink)}
+QUERIES = {f.__name__: f for f in (source_rescan, source_refresh, source_rescan_counts, source_status_written, import_actions, import_counts, import_again, source_relink)}
 
 _EXT = r"lower(regexp_extract({}, '[^/\\]\.([^./\\]*)$', 1))"
 
@@ -112,6 +119,7 @@ _W = rf"""WITH {views.ASSETS}, b AS (SELECT *, right(id, 1) AS d FROM assets), s
 
 ORACLES = {
     "source_rescan": _W + " SELECT id, new_status, new_error, new_status <> old AS changed FROM status",
+    "source_refresh": _W + " SELECT id, (SELECT absolute_path FROM known k WHERE k.id = status.id) AS absolute_path, new_status AS status, new_error AS error FROM status WHERE id = (SELECT min(id) FROM status)",
     "source_rescan_counts": _W + " SELECT count(*) AS n_sources, count(*) FILTER (new_status = 'offline') AS n_offline, count(*) FILTER (new_status <> old) AS n_changed FROM status",
     "source_status_written": _W + " SELECT id, kind, new_status AS status FROM status",
     "import_actions": _W + " SELECT path, existing_id, action FROM actions",

@@ -30,6 +30,14 @@ def review_workspace(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def review_thumbnails(spark: SparkSession, folder: str) -> DataFrame:
+    """The small picture of every analysed asset: the candidate's, else the source's, else the source itself."""
+    small = read_table(spark, folder, "candidate_images").groupBy(F.col("id").alias("candidate_id")).agg(F.min("thumbnail_path").alias("candidate_thumbnail"))
+    own = views.assets(spark, folder).select(F.lower("id").alias("source"), "thumbnail_path")
+    rows = _items(spark, folder).select("asset_key", "source", "candidate_id", "absolute_path").join(small, "candidate_id", "left").join(own, "source")
+    return rows.select("asset_key", F.coalesce("candidate_thumbnail", "thumbnail_path", "absolute_path").alias("thumbnail"))
+
+
 def review_page(spark: SparkSession, folder: str) -> DataFrame:
     """The first 100 items in review order: group, camera, time with images first, key."""
     order = [F.col("source_group"), F.col("source_identifier"), F.asc_nulls_first("video_offset_ms"), F.col("asset_key")]
@@ -58,7 +66,7 @@ def review_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("source_group", "status").agg(F.count("*").alias("n_items"))
 
 
-QUERIES = {f.__name__: f for f in (review_workspace, review_page, review_status, review_summary, review_filtered)}
+QUERIES = {f.__name__: f for f in (review_workspace, review_thumbnails, review_page, review_status, review_summary, review_filtered)}
 
 _I = f"""WITH {views.ASSETS}, {views.METRICS}, {views.CANDIDATES}, f AS (SELECT id, min(image_path) AS frame_path, min(selection_method) AS selection_method FROM candidates GROUP BY id),
   i AS (SELECT m.asset_key, a.source_group, a.source_identifier, a.file_name, a.absolute_path, m.video_offset_ms, m.pinned, f.frame_path, f.selection_method
@@ -68,6 +76,8 @@ _I = f"""WITH {views.ASSETS}, {views.METRICS}, {views.CANDIDATES}, f AS (SELECT
 ORACLES = {
     "review_workspace": _I + """ SELECT asset_key, source_group, file_name || CASE WHEN video_offset_ms IS NULL THEN '' ELSE printf(' · %02d:%02d:%02d.%03d', video_offset_ms // 3600000, video_offset_ms // 60000 % 60, video_offset_ms // 1000 % 60, video_offset_ms % 1000) END AS display_name,
         coalesce(frame_path, absolute_path) AS image_path, coalesce(selection_method, 'source_image') AS selection_method, coalesce(pinned, false) AS pinned FROM i""",
+    "review_thumbnails": f"""WITH {views.ASSETS}, {views.METRICS}, c AS (SELECT id, min(thumbnail_path) AS t FROM candidate_images GROUP BY id)
+        SELECT asset_key, coalesce(t, thumbnail_path, absolute_path) AS thumbnail FROM metrics m JOIN assets a ON lower(a.id) = lower(trim(m.source_id)) LEFT JOIN c ON c.id = m.candidate_id""",
     "review_page": _I + " SELECT asset_key, source_group, source_identifier, video_offset_ms FROM i ORDER BY source_group, source_identifier, video_offset_ms NULLS FIRST, asset_key LIMIT 100",
     "review_status": _I + " SELECT asset_key, status FROM st",
     "review_summary": _I + " SELECT count(*) AS n_total, count(*) FILTER (status = 'keep') AS n_keep, count(*) FILTER (status = 'suggest_exclude') AS n_suggested, count(*) FILTER (status = 'warning') AS n_warning, count(*) FILTER (status = 'error') AS n_failed FROM st",

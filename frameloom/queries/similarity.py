@@ -134,3 +134,23 @@ ORACLES = {
     "near_raster_pairs": _SSIM + " SELECT a, b, ssim FROM s WHERE ssim >= 0.94",
     "vector_pairs_per_label": "SELECT label, count(*) AS n_vectors, count(*) * (count(*) - 1) // 2 AS n_pairs FROM embeddings GROUP BY label",
 }
+
+
+def raster_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of rasters that both stages take for near copies: id, representative (the brightest), and as the score of a
+    member its highest structural similarity."""
+    hashed = _hashed(spark, folder).select(F.format_string("%012d", "id").alias("asset_key"), F.col("median").cast("double").alias("quality"), (F.col("id") % 10 == 2).alias("locked"), F.lit(None).cast("bigint").alias("offset_ms"))
+    key = lambda c: F.format_string("%012d", c).alias(c)
+    edges = cut(near_raster_pairs(spark, folder).select(key("a"), key("b"), F.col("ssim").alias("score")))
+    roots = connected_components(edges).toDF("asset_key", "root")
+    return group_members(hashed.join(roots, "asset_key"), edges)
+
+
+QUERIES["raster_groups"] = raster_groups
+_NEAR = _SSIM.replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["raster_groups"] = f"""{_NEAR}, e AS (SELECT printf('%012d', a) AS a, printf('%012d', b) AS b, ssim FROM s WHERE ssim >= 0.94), n AS (SELECT a, b, ssim FROM e UNION ALL SELECT b, a, ssim FROM e),
+  reach AS (SELECT DISTINCT a, a AS b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b), m AS (SELECT a AS asset_key, min(b) AS root FROM reach GROUP BY a),
+  o AS (SELECT m.asset_key, root, id % 10 = 2 AS locked, (SELECT max(ssim) FROM n WHERE n.a = m.asset_key) AS score,
+    row_number() OVER (PARTITION BY root ORDER BY id % 10 = 2 DESC, median DESC, m.asset_key) AS rn FROM m JOIN k ON printf('%012d', k.id) = m.asset_key),
+  g AS (SELECT root, list_sort(list(asset_key)) AS keys, count(*) FILTER (locked) > 1 AS locked_conflict FROM o GROUP BY root)
+  SELECT asset_key, {_ID} AS group_id, len(keys) AS n_members, locked_conflict, rn = 1 AS representative, CASE WHEN rn = 1 THEN 1.0 ELSE score END::DOUBLE AS similarity_score FROM o JOIN g USING (root)"""

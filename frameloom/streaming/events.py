@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,37 @@ def select_changes(points: DataFrame, entity: str, time: str, score: str, thresh
     return rows.groupBy("k").applyInPandasWithState(step, f"{entity} {kind}, {time} bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def frame_changes(frames: DataFrame, entity: str, order: str, pixels: str) -> DataFrame:
+    """The streaming form of frame differences: (entity, order, frame, score), where the state of an entity is its last
+    frame. The first frame has score 0, a later one its mean difference from the one before, as a share of the full range.
+
+    Frames of one batch are taken in order; ones before the last taken come too late and are left out, as are frames of
+    another size than the one before, which can't be compared.
+    """
+    size = 4
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, number, before = state.get if state.exists else (None, -1, None)
+        before = None if before is None else np.frombuffer(before, np.uint8)
+        out = []
+        rows = pd.concat(list(batches)).sort_values("t")
+        for t, px in zip(rows["t"].tolist(), rows["px"].tolist(), strict=True):
+            now = np.asarray(px, np.uint8)
+            if last is not None and (t <= last or len(now) != len(before)):
+                continue
+            score = 0.0 if before is None else float(np.abs(now.astype(np.int32) - before).mean() / 255)
+            last, number, before = t, number + 1, now
+            out.append((key[0], t, number, score))
+        if last is not None:
+            state.update((last, number, before.tobytes()))
+        yield pd.DataFrame(out, columns=range(size)).set_axis([entity, order, "frame", "score"], axis=1)
+
+    kinds = [frames.schema[c].dataType.simpleString() for c in (entity, order)]
+    rows = frames.select(F.col(entity).alias("k"), F.col(order).alias("t"), F.col(pixels).alias("px")).where("k is not null and t is not null and px is not null")
+    made = f"{entity} {kinds[0]}, {order} {kinds[1]}, frame bigint, score double"
+    return rows.groupBy("k").applyInPandasWithState(step, made, f"last {kinds[1]}, number bigint, before binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there now, and return what it wrote.
 
