@@ -34,6 +34,12 @@ def quality_score(sharpness: Column, width: Column, height: Column, under: Colum
     return F.coalesce(score, F.lit(float("-inf")))
 
 
+def analysis_height(width: Column, height: Column, target: int = 160) -> Column:
+    """The height of a frame scaled to a width for analysis: in proportion, at least 2, and even; null for sizes under 1."""
+    scaled = F.greatest(F.round(height.cast("double") * target / width).cast("int"), F.lit(2))
+    return F.when((width > 0) & (height > 0), scaled + scaled % 2)
+
+
 def low_information(entropy: Column, deviation: Column) -> Column:
     """1 minus the weighted shares of entropy (of 8 bits) and deviation (of 64 levels), each at most 1."""
     share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))

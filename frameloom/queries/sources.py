@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import names
-from frameloom.functions.measures import frames_per_second, rate_parts
+from frameloom.functions.measures import analysis_height, frames_per_second, rate_parts
 from frameloom.functions.text import ascii_lower
 from frameloom.operators.similarity import first_of
 from frameloom.queries import views
@@ -97,6 +97,13 @@ def src_frame_rates(spark: SparkSession, folder: str) -> DataFrame:
     return views.videos(spark, folder).select("source", F.round(frames_per_second(rate), 6).alias("fps"), frames.alias("n_frames"))
 
 
+def src_analysis_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """The size to which each video's frames are scaled for the analysis of changes, and the time of its tenth frame at
+    four frames a second."""
+    rows = views.assets(spark, folder).where("kind = 'video'")
+    return rows.select("id", F.lit(160).alias("width"), analysis_height(F.col("width"), F.col("height")).alias("height"), F.lit(round(9 * 1000 / 4.0)).cast("bigint").alias("tenth_ms"))
+
+
 def src_playable(spark: SparkSession, folder: str) -> DataFrame:
     """Videos that play as they are, per codec and extension."""
     rows = views.assets(spark, folder).where("kind = 'video'")
@@ -117,7 +124,7 @@ def src_display(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", names.size_text(F.col("size_bytes")).alias("size_text"), names.clock_text(F.col("duration_ms")).alias("duration_text"), names.clock_ms(names.clock_text(F.col("duration_ms"))).alias("duration_back"))
 
 
-QUERIES = {f.__name__: f for f in (src_kind_classifier, src_path_distinct, src_group_identifier, src_status_counts, src_status_changes, src_fingerprint_groups, src_rename_match, src_page, src_pending_hash, src_search, src_options, src_frame_rates, src_playable, src_parameters, src_display)}
+QUERIES = {f.__name__: f for f in (src_kind_classifier, src_path_distinct, src_group_identifier, src_status_counts, src_status_changes, src_fingerprint_groups, src_rename_match, src_page, src_pending_hash, src_search, src_options, src_frame_rates, src_analysis_sizes, src_playable, src_parameters, src_display)}
 
 _EXT = r"lower(regexp_extract(absolute_path, '[^/\\]\.([^./\\]*)$', 1))"
 _KIND = f"CASE WHEN {_EXT} IN ('jpg','jpeg','png','bmp','tif','tiff','webp') THEN 'image' WHEN {_EXT} IN ('mp4','mov','mkv','avi','webm','m4v','mts','m2ts') THEN 'video' ELSE 'unsupported' END"
@@ -145,6 +152,8 @@ ORACLES = {
     "src_frame_rates": f"""WITH {views.VIDEOS}, r AS (SELECT *, split_part(frame_rate, '/', 1)::BIGINT AS num, split_part(frame_rate, '/', 2)::BIGINT AS den FROM videos)
         SELECT source, CASE WHEN num > 0 AND den > 0 THEN round(num / den, 6) END AS fps,
         CASE WHEN num > 0 AND den > 0 THEN round(duration_ms * num / (den * 1000.0))::BIGINT END AS n_frames FROM r""",
+    "src_analysis_sizes": _A + """SELECT id, 160 AS width, CASE WHEN width > 0 AND height > 0 THEN greatest(round(height * 160.0 / width)::INT, 2) + greatest(round(height * 160.0 / width)::INT, 2) % 2 END AS height,
+        2250::BIGINT AS tenth_ms FROM assets WHERE kind = 'video'""",
     "src_playable": _A + f"""SELECT codec, {_EXT} AS extension, coalesce((codec = 'h264' AND {_EXT} IN ('mp4','m4v','mov')) OR (codec = 'av1' AND {_EXT} IN ('mp4','webm'))
         OR (codec IN ('vp8','vp9') AND {_EXT} = 'webm'), false) AS plays, count(*) AS n_videos FROM assets WHERE kind = 'video' GROUP BY ALL""",
     "src_parameters": """SELECT selection_method, count(*) AS n, count(i) AS n_interval, sum(i)::BIGINT AS sum_interval, sum(c)::BIGINT AS sum_count, round(avg(t), 6) AS avg_threshold FROM (

@@ -112,3 +112,17 @@ def test_the_core_stands_without_the_subpackage(tmp_path, broken):
         (left / "catalog.py").write_text(broken)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'p1_found' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_missing_folders_and_empty_files_are_told(spark, tmp_path):
+    from frameloom.sources.scan import list_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.png").write_bytes(b"1")
+    (tmp_path / "a" / "empty.png").write_bytes(b"")
+    (tmp_path / "a" / "note.txt").write_bytes(b"1")
+    got = {r["path"].rsplit("/", 1)[-1]: r["failure"] for r in list_files(spark, str(tmp_path / "a"), str(tmp_path / "gone"), content=True).collect()}
+    print(got)
+    assert got.items() >= {"x.png": None, "note.txt": "unsupported", "gone": "missing"}.items()
+    assert got.get("empty.png", "empty") == "empty"
+    assert [r["failure"] for r in list_files(spark, str(tmp_path / "gone")).collect()] == ["missing"]
