@@ -653,9 +653,13 @@ def features(scan: Scan, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     pair = np.where(kind == 0, scan.pair(scan.next), np.uint64(0))
     of_pair = counts.of(pair)
     use = (pair > 0) & (of_pair[:, 0] >= COMMON_PAIR)
-    r = np.where(use[:, None], of_pair, counts.of(right[:, 1]))
-    total, started, unsure = r[:, 0], r[:, 1], r[:, 2]
-    within = np.maximum(total - started - unsure, 0.0) + UNSURE_WEIGHT * unsure
+    of_word = counts.of(right[:, 1])
+    within_of = lambda r: np.maximum(r[:, 0] - r[:, 1] - r[:, 2], 0.0) + UNSURE_WEIGHT * r[:, 2]
+    # A pair's few occurrences are joined by so many like those of its first word.
+    share = COMMON_PAIR / np.maximum(of_word[:, 0], 1.0)
+    total = np.where(use, of_pair[:, 0], of_word[:, 0])
+    started = np.where(use, of_pair[:, 1] + share * of_word[:, 1], of_word[:, 1])
+    within = np.where(use, within_of(of_pair) + share * within_of(of_word), within_of(of_word))
     start = np.clip(np.log((started + 0.3) / (within + 1.0)), -4.5, 3.0)
     seen = np.maximum(total, started)
     c = counts.of(left[:, 0])
@@ -663,14 +667,16 @@ def features(scan: Scan, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     dot = (scan.mark == 0) & (scan.kind == 0)
     flag = left[:, 1:].astype(bool)
     letter, number, inner, ordinary, short, uncased, code = flag.T
-    ends = np.clip(np.log((ended + 0.5) / (went_on + 0.5)), -5, 5)
+    goes_on = np.clip(np.log((ended + 0.5) / (went_on + 0.5)), -5, 5)
     without = np.where(number, 0.0, np.clip(np.log((np.maximum(bare - dots, 0) + 0.5) / (dots + 0.5)), -5, 5))
     # An abbreviation that a further word must follow ends hardly any block, though what follows its dots may be a start.
     never = np.where(dot & ~number, np.clip(np.log((ended + 0.5) / (np.maximum(dots - went_on, 0) * counts.ending + 0.5)), -4, 2), 0.0)
+    # One whose dots do end blocks as often as others' says nothing against a boundary by being one.
+    closes = dot & (ended >= 10) & (never > -0.7) & (without < 0)
     values = {
         "bias": 1.0, "start": start, "start_seen": np.minimum(np.log1p(seen), 6.0) / 6.0, "left_letter": dot & letter, "left_number": dot & number,
         "left_dotted": dot & inner, "left_ordinary": ordinary, "left_short": dot & short, "left_uncased": uncased, "left_code": code,
-        "left_ends": np.where(dot, ends, 0), "left_bare": np.where(dot, without, 0), "left_never": never, "left_closes": dot & (ended >= 10) & (never > -0.7) & (without < 0), "mark_ellipsis": scan.mark == 1,
+        "left_ends": np.where(dot, goes_on, 0), "left_bare": np.where(dot & ~closes, without, 0), "left_never": never, "left_closes": closes, "mark_ellipsis": scan.mark == 1,
         "mark_strong": scan.mark == 2, "after_quote": scan.kind == 1, "after_bracket": scan.kind == 2, "bracket_alone": scan.alone, "no_gap": scan.tight,
         "start_x_dot": np.where(dot, start, 0), "start_x_never": start * never, "start_x_quote": np.where(scan.kind == 1, start, 0),
     }
@@ -823,7 +829,8 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Repeated documents come out repeatedly; null, empty and blank texts have no unit; a document without any mark is
     one unit per paragraph; an empty table gives an empty result; a corpus without a reliable boundary is split by the
-    prior of the weights.
+    prior of the weights. Texts are taken in stretches that end at blank lines; a longer paragraph is held whole, with
+    about a hundred bytes for each of its characters.
     """
     ship_package(documents.sparkSession)
     model = model or fit_sentences(documents, key, text)
