@@ -90,12 +90,16 @@ def frame_counts(duration: Column, rate: Column, every: int) -> Column:
     return F.when(num.isNotNull(), F.when(room > 0, F.call_function("div", room + each - 1, each)).otherwise(0).cast("bigint"))
 
 
-def frame_time(rate: Column, i: Column, every: int) -> Column:
-    """The time of frame i * every of a constant rate, in whole milliseconds."""
-    num, den = rate_parts(rate)
+def frame_at(num: Column, den: Column, i: Column, every: int) -> Column:
+    """The time of frame i * every of the rate num / den, in whole milliseconds."""
     return _div(i * every * den * 1000 + _div(num, 2), num)
 
 
+def frame_time(rate: Column, i: Column, every: int) -> Column:
+    """The time of frame i * every of a constant rate; where i was exploded, take the rate apart before and ``frame_at``."""
+    return frame_at(*rate_parts(rate), i, every)
+
+
 #: A stretch of an entity's times within which they are sorted together.
 STRETCH = 600_000
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.functions.measures import rate_parts
 from frameloom.operators import store
 from frameloom.operators.ranges import contained_in
 from frameloom.plans import sampling
@@ -48,10 +49,11 @@ def _plans(spark: SparkSession, folder: str) -> DataFrame:
     videos = views.videos(spark, folder).where("status = 'online' and duration_ms > 0").withColumn("mode", _mode())
     of = lambda mode: videos.where(F.col("mode") == mode)
     none = F.lit(None).cast("bigint").alias("frame")
-    rate = F.col("frame_rate")
+    num, den = rate_parts(F.col("frame_rate"))
     fixed = sampling.explode_counted(of("fixed_interval"), F.ceil(F.col("duration_ms") / STEP_MS)).select("source", "mode", (F.col("i") * STEP_MS).alias("t_ms"), none)
-    framed = sampling.explode_counted(of("frame_interval"), sampling.frame_counts(F.col("duration_ms"), rate, EVERY)).select(
-        "source", "mode", sampling.frame_time(rate, F.col("i"), EVERY).alias("t_ms"), (F.col("i") * EVERY).alias("frame")
+    rated = of("frame_interval").withColumns({"num": num, "den": den})
+    framed = sampling.explode_counted(rated, sampling.frame_counts(F.col("duration_ms"), F.col("frame_rate"), EVERY)).select(
+        "source", "mode", sampling.frame_at(F.col("num"), F.col("den"), F.col("i"), EVERY).alias("t_ms"), (F.col("i") * EVERY).alias("frame")
     )
     counted = of("target_count").select("source", "mode", F.explode(sampling.target_count(F.col("duration_ms"), COUNT)).alias("t_ms"), none)
     ranged = of("valid_ranges").select("source", "mode").join(plan_chosen_ranges(spark, folder), "source").select("source", "mode", "t_ms", none)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.measures import rate_parts
 from frameloom.operators.ranges import contained_in
 from frameloom.plans import sampling
 from frameloom.queries import views
@@ -25,9 +26,11 @@ def plan_fixed_interval(spark: SparkSession, folder: str) -> DataFrame:
 
 def plan_frame_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Every 1800th frame of every video with a rate."""
-    rate = F.col("frame_rate")
-    rows = sampling.explode_counted(views.videos(spark, folder), sampling.frame_counts(F.col("duration_ms"), rate, EVERY))
-    timed = rows.select("source", "i", sampling.frame_time(rate, F.col("i"), EVERY).alias("t_ms"), sampling.frame_time(rate, F.col("i") - 1, EVERY).alias("before"))
+    num, den = rate_parts(F.col("frame_rate"))
+    videos = views.videos(spark, folder).withColumns({"num": num, "den": den})
+    rows = sampling.explode_counted(videos, sampling.frame_counts(F.col("duration_ms"), F.col("frame_rate"), EVERY))
+    at = lambda i: sampling.frame_at(F.col("num"), F.col("den"), i, EVERY)
+    timed = rows.select("source", "i", at(F.col("i")).alias("t_ms"), at(F.col("i") - 1).alias("before"))
     return timed.where("i = 0 or t_ms > before").select("source", "t_ms")
 
 
