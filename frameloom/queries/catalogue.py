@@ -250,10 +250,15 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 def project_summary(spark: SparkSession, folder: str) -> DataFrame:
     """What is shown when a project is opened: its assets, those not online, its candidates and selections."""
-    sources = views.assets(spark, folder).agg(F.count("*").alias("n_sources"), F.count_if(F.col("status") != "online").alias("n_not_online"))
-    frames = views.candidates(spark, folder).agg(F.count("*").alias("n_candidates"))
-    parts = views.selections(spark, folder).agg(F.count("*").alias("n_selections"))
-    return sources.crossJoin(F.broadcast(frames)).crossJoin(F.broadcast(parts))  # three single rows
+    names = ("n_sources", "n_not_online", "n_candidates", "n_selections")
+
+    def counted(rows: DataFrame, **counts: Column) -> DataFrame:
+        return rows.agg(*[counts.get(n, F.lit(0).cast("bigint")).alias(n) for n in names])
+
+    sources = counted(views.assets(spark, folder), n_sources=F.count("*"), n_not_online=F.count_if(F.col("status") != "online"))
+    frames = counted(views.candidates(spark, folder), n_candidates=F.count("*"))
+    parts = counted(views.selections(spark, folder), n_selections=F.count("*"))
+    return sources.unionByName(frames).unionByName(parts).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def comparison_counts(spark: SparkSession, folder: str) -> DataFrame:

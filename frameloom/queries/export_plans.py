@@ -62,10 +62,10 @@ def export_frames_totals(spark: SparkSession, folder: str) -> DataFrame:
     planned = unnumbered_names(_frames(spark, folder), "stem", "jpg", "export_index", "skip")
     kept = F.col("file_name").isNotNull()
     size = F.when(kept, F.col("width").cast("bigint") * F.col("height") * 3)
-    left_out = _wanted(spark, folder).agg(F.count_if("excluded").alias("n_excluded"))
-    return planned.agg(F.count_if(kept).alias("n_items"), F.count_if(~kept).alias("n_taken"), F.coalesce(F.sum(size), F.lit(0)).alias("estimated_bytes")).crossJoin(F.broadcast(left_out)).select(
-        "n_items", (F.col("n_taken") + F.col("n_excluded")).alias("n_skipped"), "estimated_bytes"
-    )
+    none = F.lit(0).cast("bigint")
+    by_name = planned.agg(F.count_if(kept).alias("n_items"), F.count_if(~kept).alias("n_skipped"), F.coalesce(F.sum(size), F.lit(0)).alias("estimated_bytes"))
+    by_reviewer = _wanted(spark, folder).agg(none.alias("n_items"), F.count_if("excluded").alias("n_skipped"), none.alias("estimated_bytes"))
+    return by_name.unionByName(by_reviewer).agg(*[F.sum(c).alias(c) for c in by_name.columns])
 
 
 _TILE = ["source_id", "candidate_id", "profile_id", "tile_row", "tile_column"]
