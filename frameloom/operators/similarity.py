@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.config import LARGEST_COMPARISON
 from frameloom.functions.hashing import hamming
 from frameloom.operators.replay import group_digests
 from frameloom.session import cut, release
@@ -101,6 +102,17 @@ def near_pairs(assets: DataFrame, scope: str = "source", window_ms: int = 30_000
     return found.select(F.least("a.asset_key", "b.asset_key").alias("a"), F.greatest("a.asset_key", "b.asset_key").alias("b")).distinct()
 
 
+def guard_comparisons(counts: DataFrame, column: str = "n_comparisons", limit: int = LARGEST_COMPARISON) -> int:
+    """The number of comparisons that counts per scope add up to; ValueError where that is over the limit.
+
+    For callers who want pairs compared one by one to be refused beforehand; ``near_pairs`` itself has no such limit.
+    """
+    total = int(counts.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])
+    if total > limit:
+        raise ValueError(f"{total} comparisons are over the limit of {limit}")
+    return total
+
+
 def ssim_sums(pixels: Column) -> Column:
     """What structural similarity needs of one pixel array: (sum, sum of squares), made once for each."""
     both = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q"))

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameloom.config import ReviewSettings
 from frameloom.functions import measures
 from frameloom.queries import views
 from frameloom.sources.tables import read_table
 
-# The thresholds below or above which a measure is a reason, in the order of the reasons.
-THRESHOLDS = {"width": 320, "height": 240, "sharpness": 80.0, "underexposed_ratio": 0.35, "overexposed_ratio": 0.35, "low_information": 0.72}
+_DEFAULTS = ReviewSettings()
+
+#: The thresholds below or above which a measure is a reason, in the order of the reasons.
+THRESHOLDS = {
+    "width": _DEFAULTS.min_width, "height": _DEFAULTS.min_height, "sharpness": _DEFAULTS.min_sharpness, "underexposed_ratio": _DEFAULTS.max_underexposed_ratio,
+    "overexposed_ratio": _DEFAULTS.max_overexposed_ratio, "low_information": _DEFAULTS.max_low_information,
+}
 
 
 def reasons() -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.operators.replay import group_digests, replay
-from frameloom.operators.similarity import near_pairs
+from frameloom.operators.similarity import guard_comparisons, near_pairs
 from frameloom.plans import sampling
 from frameloom.streaming import events
 
@@ -98,3 +98,10 @@ def test_a_stream_that_writes_nothing_is_empty(spark, tmp_path):
     spark.createDataFrame([], "e string, t bigint, s double").write.parquet(str(tmp_path / "none"))
     stream = events.read_stream(spark, str(tmp_path / "none")).where("e = 'x'")
     assert events.run_to_table(stream.select("e", "t"), "append").count() == 0
+
+
+def test_comparisons_over_a_limit_are_refused(spark):
+    counts = spark.createDataFrame([("a", 1_500_000), ("b", 500_000)], "g string, n_comparisons bigint")
+    assert guard_comparisons(counts) == 2_000_000 and guard_comparisons(counts.limit(0)) == 0
+    with pytest.raises(ValueError, match="over the limit"):
+        guard_comparisons(counts, limit=1_999_999)
