@@ -143,6 +143,17 @@ def nearest_within(planned: DataFrame, existing: DataFrame, entity: str, time: s
     return planned.drop("nearest").join(best, [entity, time], "left")
 
 
+def interval_hits(existing: DataFrame, entity: str, time: str, step: int, tolerance: int = 1) -> DataFrame:
+    """(entity, time), distinct: the times of the endless plan 0, step, 2 step ... that have an existing time of the entity
+    within the tolerance. An existing time is that near to one planned time at most, so no plan is made to be joined."""
+    if tolerance < 0 or step <= 2 * tolerance:
+        raise ValueError("the interval must be over twice the tolerance, which is not negative")
+    past = F.pmod(F.col(time), F.lit(step).cast("bigint"))
+    near = existing.where(F.col(entity).isNotNull() & ((past <= tolerance) | (past >= step - tolerance)))
+    at = F.when(past <= tolerance, F.col(time) - past).otherwise(F.col(time) + (step - past))
+    return near.select(F.col(entity).alias(entity), at.alias(time)).where(F.col(time) >= 0).distinct()
+
+
 def change_selection(points: DataFrame, entity: str, time: str, score: str, threshold: float, least: int, most: int) -> DataFrame:
     """The times at which frames are taken from a change curve, per entity.
 

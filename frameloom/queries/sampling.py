@@ -95,12 +95,20 @@ def new_times(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_sampling_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """The estimate of the fixed plan rolled up per source group; sources without a plan count as sources only."""
-    videos = views.videos(spark, folder)
-    planned = sampling.explode_counted(videos, F.ceil(F.col("duration_ms") / STEP_MS), outer=True).select("source", "source_group", (F.col("i") * STEP_MS).alias("t_ms"))
-    there = views.candidates(spark, folder).select("source", F.col("video_offset_ms").alias("t_ms"))
-    hits = sampling.nearest_within(planned, there, "source", "t_ms")
-    return hits.groupBy("source_group").agg(F.countDistinct("source").alias("n_sources"), F.count("t_ms").alias("n_planned"), F.count("nearest").alias("n_existing"))
+    """The estimate of the fixed plan rolled up per source group; sources without a plan count as sources only.
+
+    The plan is counted, not made: a source has as many times as its duration gives, and what exists of them is looked up
+    from the candidates. So what is joined grows with the candidates and not with the durations.
+    """
+    videos = views.videos(spark, folder).select("source", "source_group", "duration_ms")
+    named = F.col("source").isNotNull().cast("bigint")
+    n_planned = F.when(F.col("duration_ms") > 0, named * (F.call_function("div", F.col("duration_ms") - 1, F.lit(STEP_MS)) + 1)).otherwise(0)
+    sources = videos.select("source_group", named.alias("n_sources"), n_planned.alias("n_planned"), F.lit(0).cast("bigint").alias("n_existing"))
+    hits = sampling.interval_hits(views.candidate_times(spark, folder), "source", "t_ms", STEP_MS)
+    # Both sides may be far larger than the planner takes them to be, from compressed files.
+    found = hits.join(videos.hint("merge"), "source").where("t_ms < duration_ms")
+    found = found.select("source_group", *[F.lit(n).cast("bigint").alias(c) for c, n in (("n_sources", 0), ("n_planned", 0), ("n_existing", 1))])
+    return sources.unionByName(found).groupBy("source_group").agg(*[F.sum(c).alias(c) for c in ("n_sources", "n_planned", "n_existing")])
 
 
 def manual_captures(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,6 +28,12 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("source", plain_key(F.col("source_id"))).where("source is not null")
 
 
+def candidate_times(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, t_ms) of every candidate, copies included: for what takes distinct times, so that no whole rows are compared."""
+    rows = read_table(spark, folder, "candidate_images").select(plain_key(F.col("source_id")).alias("source"), F.col("video_offset_ms").alias("t_ms"))
+    return rows.where("source is not null")
+
+
 _BLANK = r"'^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$'"
 PLAIN = f"nullif(lower(regexp_replace(source_id, {_BLANK}, '', 'g')), '')"
 CANDIDATES = f"""candidates AS (
